@@ -1,0 +1,179 @@
+"""Problem 2: a new batch against all history, through an incremental inverted index.
+
+The index lives in the shared folder as two growing tables: `accepted` (one row per accepted statement) and
+`postings` (one row per token of a statement's rare-token prefix, partitioned by a bucket of the token). A batch is
+cut into tokens in the index's fixed order, rarest first; its prefixes are joined with the postings on the token,
+candidates are filtered by length, and the overlap of the whole token sets is verified. What repeats nothing is
+appended to both tables. History is never read again as a whole: a probe touches the postings of its tokens only.
+
+Tokens carry the place of the statement (repository, rule, file name), so a common word is no hot key by itself, and
+equal statements of a batch are one probe, however many copies there are.
+"""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from auditlake.storage import shared_dir, staged
+
+#: Comments, with string literals kept as group 1; and the words of identifiers, and numbers.
+COMMENT = r'''("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*'''
+WORD = r"[0-9]+|\p{Lu}?\p{Ll}+|\p{Lu}+(?!\p{Ll})|\p{Lo}+"
+
+
+def statement_words(snippet: Column) -> Column:
+    """The distinct words of a statement without its comments, in lower case: camel case and underscores are cut."""
+    bare = F.regexp_replace(snippet, COMMENT, "$1 ")
+    words = F.transform(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)), F.lower)
+    rest = F.regexp_replace(bare, r"\s+", "")
+    return F.when(F.size(words) > 0, F.array_distinct(words)).when(F.length(rest) > 0, F.array(rest)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def file_name(path: Column) -> Column:
+    return F.lower(F.trim(F.regexp_extract(F.translate(path, "\\", "/"), r"[^/]*$", 0)))
+
+
+def place(df: DataFrame) -> Column:
+    """A number for (repository, rule, file name); nulls are a place of their own."""
+    parts = [F.col("repository_id"), F.lower(F.trim("rule_id")), file_name(F.col("file_path"))]
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in parts])
+
+
+@dataclass
+class HistoryIndex:
+    """Accepted statements under a path of the shared folder.
+
+    similarity: least Jaccard similarity of the word sets of a statement and its repeat; edits: most words either may
+    have that the other lacks beyond the smaller side's two; buckets: number of token partitions.
+    """
+
+    path: str
+    similarity: float = 0.6
+    edits: int = 2
+    slack: int = 4
+    buckets: int = 16
+    filled: bool = False
+
+    accepted_schema = "first_id bigint, words array<string>"
+    postings_schema = "token bigint, first_id bigint, n int, bucket int"
+
+    def prefixes(self, df: DataFrame, own: str) -> DataFrame:
+        """(own, n, token, bucket): the rare-token prefix of each row's ordered words."""
+        n = F.size("words")
+        length = n - F.ceil(n * F.lit(self.similarity) - 1e-9).cast("int") + 1
+        token = F.explode(F.transform(F.slice("words", 1, length), lambda w: F.xxhash64("place", w)))
+        return (
+            df.where(n > 0).select(own, n.alias("n"), token.alias("token"))
+            .withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
+        )
+
+    def probe(self, statements: DataFrame) -> DataFrame:
+        """(own_id, first_id, score): the most similar accepted statement of each statement that repeats one."""
+        spark = statements.sparkSession
+        postings = spark.read.schema(self.postings_schema).parquet(f"{self.path}/postings")
+        accepted = spark.read.schema(self.accepted_schema).parquet(f"{self.path}/accepted")
+        mine = self.prefixes(statements, "own_id").alias("a")
+        near = F.lit(self.similarity)
+        pairs = (
+            mine.join(postings.alias("b"), ["bucket", "token"])
+            .where((F.col("b.n") >= F.col("a.n") * near) & (F.col("a.n") >= F.col("b.n") * near))
+            .select("own_id", "first_id").distinct()
+        )
+        both = pairs.join(statements.select("own_id", F.col("words").alias("mine")), "own_id").join(accepted, "first_id")
+        common = F.size(F.array_intersect("mine", "words"))
+        left, right = F.size("mine") - common, F.size("words") - common
+        score = common / (F.size("mine") + F.size("words") - common)
+        best = F.max_by(F.struct("first_id", "score"), F.struct("score", -F.col("first_id")))
+        return (
+            both.select("own_id", "first_id", score.alias("score"), left.alias("l"), right.alias("r"))
+            .where((F.col("score") >= near) & (F.least("l", "r") <= self.edits) & (F.greatest("l", "r") <= self.slack))
+            .groupBy("own_id").agg(best.alias("m")).select("own_id", "m.first_id", "m.score")
+        )
+
+    def append(self, statements: DataFrame) -> None:
+        """Accepts statements: adds them and their postings."""
+        statements.select(F.col("own_id").alias("first_id"), "words").write.mode("append").parquet(f"{self.path}/accepted")
+        self.prefixes(statements, "own_id").select("token", F.col("own_id").alias("first_id"), "n", "bucket").repartition(
+            "bucket"
+        ).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self.filled = True
+
+
+def ordered_words(entries: DataFrame, first_batch: int) -> DataFrame:
+    """Entries with place and words, the words in one fixed order: by how many statements of the first batch hold them.
+
+    Words unknown to the first history come first, ties in the order of the words; any fixed order gives the same
+    pairs, this one the shortest posting lists.
+    """
+    base = entries.select("entry_id", "batch_no", place(entries).alias("place"), statement_words(F.col("snippet")).alias("words"))
+    base = staged(base, "p2-words")
+    counts = base.where(F.col("batch_no") == first_batch).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    each = base.select("entry_id", F.explode("words").alias("word")).join(counts, "word", "left")
+    order = each.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("words"))
+    return base.drop("words").join(order, "entry_id")
+
+
+def repeats(entries: DataFrame, index: HistoryIndex | None = None) -> DataFrame:
+    """(first_entry_id, entry_id, score): the accepted entry that each repeating entry repeats.
+
+    entries needs entry_id (unique), batch_no, repository_id, rule_id, file_path, snippet; others are ignored. Batches
+    go through the index in order of batch_no; entries of one batch are not compared with each other, and repeats are
+    not accepted. Among equally similar accepted entries the smallest entry_id counts. Rows with a null entry_id,
+    batch_no or snippet, or a blank snippet, repeat nothing and are not accepted. An empty table gives no rows.
+    """
+    spark = entries.sparkSession
+    entries = entries.where("entry_id is not null and batch_no is not null and snippet is not null")
+    numbers = [r[0] for r in entries.select("batch_no").distinct().orderBy("batch_no").collect()]
+    schema = "first_entry_id bigint, entry_id bigint, score double"
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    index = index or HistoryIndex(f"{shared_dir(spark)}/p2-index-{uuid.uuid4().hex}")
+    words = ordered_words(entries, numbers[0]).withColumn("statement", F.xxhash64("place", F.array_sort("words")))
+    root = f"{shared_dir(spark)}/staged/p2-batches-{uuid.uuid4().hex}"
+    words.repartition("batch_no", F.pmod("statement", F.lit(index.buckets))).write.partitionBy("batch_no").parquet(root)
+    kinds = "entry_id bigint, place bigint, words array<string>, statement bigint, batch_no int"
+    found = f"{shared_dir(spark)}/staged/p2-found-{uuid.uuid4().hex}"
+    for number in numbers:
+        batch = spark.read.schema(kinds).parquet(root).where(F.col("batch_no") == number)
+        own = batch.groupBy("statement").agg(F.min("entry_id").alias("own_id"), F.first("place").alias("place"), F.first("words").alias("words"))
+        if index.filled:
+            hits = staged(index.probe(own), "p2-hits")
+            fresh = own.join(hits.select("own_id"), "own_id", "left_anti")
+            hit = own.select("statement", "own_id").join(hits, "own_id")
+            batch.join(hit.select("statement", "first_id", "score"), "statement").select(
+                F.col("first_id").alias("first_entry_id"), "entry_id", "score"
+            ).write.mode("append").parquet(found)
+        else:
+            fresh = own
+        index.append(fresh)
+    if len(numbers) == 1:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(found)
+
+
+def brute_force(entries: list[dict], similarity: float = 0.6, edits: int = 2, slack: int = 4) -> set[tuple[int, int]]:
+    """The same pairs from rows with entry_id, batch_no, place and words (a set): every entry against every accepted one."""
+    accepted: list[dict] = []
+    out = set()
+    for number in sorted({e["batch_no"] for e in entries}):
+        fresh: dict[tuple, dict] = {}
+        for e in sorted((e for e in entries if e["batch_no"] == number), key=lambda e: e["entry_id"]):
+            best = None
+            for a in accepted:
+                both = len(a["words"] & e["words"])
+                l, r = len(e["words"]) - both, len(a["words"]) - both
+                score = both / max(1, l + r + both)
+                if a["place"] == e["place"] and score >= similarity and min(l, r) <= edits and max(l, r) <= slack:
+                    best = max(best or (-1, 0), (score, -a["entry_id"]))
+            if best:
+                out.add((-best[1], e["entry_id"]))
+            elif e["words"]:
+                fresh.setdefault((e["place"], frozenset(e["words"])), e)
+        accepted += fresh.values()
+    return out

@@ -1,0 +1,34 @@
+"""Queries p2 and p4 and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from auditlake.operators import copies, repeats
+from auditlake.storage import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeats(table(spark, d, "baseline_entries")).select("first_entry_id", "entry_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "baseline_raw"))
+
+
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    return copies.kept(table(spark, d, "baseline_raw"))
+
+
+_BARE = r"regexp_replace(lower(upper({x})), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_FIELDS = f"""list_sort(list_transform(json_keys(fields_json), lambda k:
+  {_BARE.format(x="k")} || chr(3) || coalesce({_BARE.format(x="json_extract_string(fields_json, '$.' || json_quote(k)::varchar)")}, chr(4))))"""
+_CANON = f"""with c as (select record_id, min(record_id) over w first_record_id, count(*) over w copies from (
+  select record_id, {_BARE.format(x="fingerprint")} f, {_BARE.format(x="snippet")} s, {_FIELDS} j from baseline_raw)
+  window w as (partition by f, s, j))"""
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_kept": p4_kept}
+SQL = {
+    "p4_found": f"{_CANON} select first_record_id, record_id from c where first_record_id < record_id",
+    "p4_kept": f"{_CANON} select record_id, copies from c where first_record_id = record_id",
+}
