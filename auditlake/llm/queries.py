@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditlake.llm import packing, tokens
+from auditlake.llm import handwritten, packing, tokens
 from auditlake.storage import staged, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "sources"), table(spark, d, "repositories"))
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files by language and kind."""
+    found = handwritten.kinds(table(spark, d, "sources"), table(spark, d, "repositories"))
+    return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("files"), F.avg("mean_line").alias("mean_line"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -28,7 +39,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 
 def oracle_sql() -> dict[str, str]:
