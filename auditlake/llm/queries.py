@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import handwritten, packing, tokens
+from auditlake.llm import credentials, handwritten, packing, tokens
 from auditlake.storage import staged, table
 
 
@@ -21,6 +21,14 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("files"), F.avg("mean_line").alias("mean_line"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.lines(table(spark, d, "sources"), table(spark, d, "observations"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "sources"), table(spark, d, "observations"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -39,7 +47,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 
 def oracle_sql() -> dict[str, str]:
