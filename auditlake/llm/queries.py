@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, handwritten, packing, tokens
+from auditlake.llm import credentials, handwritten, packing, reading, tokens
 from auditlake.storage import staged, table
 
 
@@ -46,8 +46,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p7_containers(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.difficulty(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return reading.profile(reading.difficulty(documents, table(spark, d, "reading_labels")), documents)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile}
 
 
 def oracle_sql() -> dict[str, str]:
