@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.storage import spread
+from auditlake.storage import spread, staged
 
 #: Languages by file extension.
 LANGUAGES = {
@@ -168,7 +168,7 @@ def kinds(sources: DataFrame, repositories: DataFrame) -> DataFrame:
     language and takes the thresholds of JavaScript; repeated inspections count row by row.
     """
     owners = repositories.select(F.lower(F.split("repo_name", "/")[0]).alias("owner")).where("owner is not null").distinct()
-    facts = measured(sources).withColumn("parts", F.split(F.lower("package"), r"\."))
+    facts = staged(measured(sources), "p1-facts").withColumn("parts", F.split(F.lower("package"), r"\."))
     own = (
         facts.where("package is not null").select("source_id", F.explode(F.slice("parts", 1, 2)).alias("owner"))
         .join(owners, "owner", "left_semi").select("source_id", F.lit(True).alias("own")).distinct()
