@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, handwritten, packing, reading, tokens
+from auditlake.llm import credentials, handwritten, packing, reading, syntax, tokens
 from auditlake.storage import staged, table
 
 
@@ -21,6 +21,14 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("files"), F.avg("mean_line").alias("mean_line"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "sources"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "sources"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.lines(table(spark, d, "sources"), table(spark, d, "observations"))
 
@@ -56,7 +64,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile}
 
 
 def oracle_sql() -> dict[str, str]:
