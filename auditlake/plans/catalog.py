@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.plans import history
+from auditlake.plans import audit, history
 
-MODULES = (history,)
+MODULES = (history, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
