@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.plans import audit, history
+from auditlake.plans import audit, history, review
 
-MODULES = (history, audit)
+MODULES = (history, audit, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
