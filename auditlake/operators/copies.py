@@ -23,8 +23,8 @@ HOT_SHARE = 1000
 
 
 def bare(text: Column) -> Column:
-    """Letters and digits of a text in lower case; null stays null."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]", "")
+    """Letters and digits of a text in lower case, sharp s as its capitals SS; null stays null."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
 
 
 def canonical(fingerprint: Column, snippet: Column, fields: Column) -> Column:

@@ -49,13 +49,14 @@ def place(df: DataFrame) -> Column:
 class HistoryIndex:
     """Accepted statements under a path of the shared folder.
 
-    similarity: least Jaccard similarity of the word sets of a statement and its repeat; edits: most words either may
-    have that the other lacks beyond the smaller side's two; buckets: number of token partitions.
+    similarity: least Jaccard similarity of the word sets of a statement and its repeat; edits: most words by which both
+    may differ together; slack: most words that one may lack if it has at most one of its own, as after a cut;
+    buckets: number of token partitions.
     """
 
     path: str
     similarity: float = 0.6
-    edits: int = 2
+    edits: int = 4
     slack: int = 4
     buckets: int = 16
     filled: bool = False
@@ -92,7 +93,7 @@ class HistoryIndex:
         best = F.max_by(F.struct("first_id", "score"), F.struct("score", -F.col("first_id")))
         return (
             both.select("own_id", "first_id", score.alias("score"), left.alias("l"), right.alias("r"))
-            .where((F.col("score") >= near) & (F.least("l", "r") <= self.edits) & (F.greatest("l", "r") <= self.slack))
+            .where((F.col("score") >= near) & ((F.col("l") + F.col("r") <= self.edits) | (F.least("l", "r") <= 1) & (F.greatest("l", "r") <= self.slack)))
             .groupBy("own_id").agg(best.alias("m")).select("own_id", "m.first_id", "m.score")
         )
 
@@ -157,7 +158,7 @@ def repeats(entries: DataFrame, index: HistoryIndex | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(found)
 
 
-def brute_force(entries: list[dict], similarity: float = 0.6, edits: int = 2, slack: int = 4) -> set[tuple[int, int]]:
+def brute_force(entries: list[dict], similarity: float = 0.6, edits: int = 4, slack: int = 4) -> set[tuple[int, int]]:
     """The same pairs from rows with entry_id, batch_no, place and words (a set): every entry against every accepted one."""
     accepted: list[dict] = []
     out = set()
@@ -169,7 +170,7 @@ def brute_force(entries: list[dict], similarity: float = 0.6, edits: int = 2, sl
                 both = len(a["words"] & e["words"])
                 l, r = len(e["words"]) - both, len(a["words"]) - both
                 score = both / max(1, l + r + both)
-                if a["place"] == e["place"] and score >= similarity and min(l, r) <= edits and max(l, r) <= slack:
+                if a["place"] == e["place"] and score >= similarity and (l + r <= edits or min(l, r) <= 1 and max(l, r) <= slack):
                     best = max(best or (-1, 0), (score, -a["entry_id"]))
             if best:
                 out.add((-best[1], e["entry_id"]))

@@ -20,7 +20,7 @@ def p4_kept(spark: SparkSession, d: str) -> DataFrame:
     return copies.kept(table(spark, d, "baseline_raw"))
 
 
-_BARE = r"regexp_replace(lower(upper({x})), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_BARE = r"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _FIELDS = f"""list_sort(list_transform(json_keys(fields_json), lambda k:
   {_BARE.format(x="k")} || chr(3) || coalesce({_BARE.format(x="json_extract_string(fields_json, '$.' || json_quote(k)::varchar)")}, chr(4))))"""
 _CANON = f"""with c as (select record_id, min(record_id) over w first_record_id, count(*) over w copies from (

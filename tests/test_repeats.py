@@ -1,0 +1,67 @@
+from pyspark.sql import functions as F
+
+from auditlake.operators import repeats as R
+
+SCHEMA = "entry_id long, batch_no int, repository_id string, rule_id string, file_path string, snippet string, words int, bucket string"
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(*r, 7, "x") for r in rows], SCHEMA)
+
+
+def _pairs(df):
+    return {(r.first_entry_id, r.entry_id) for r in df.collect()}
+
+
+SQL = 'String sql = "select cursor, rapid_invoice from invoice_close where cursor = \'" + invoiceKey + "\' limit 879";'
+
+
+def test_edits_places_and_order(spark):
+    rows = [
+        (1, 0, "A", "SEC-005-X", "src/a/File.java", SQL),
+        (2, 0, "A", "SEC-005-X", "src/a/File.java", SQL),  # same batch: accepted as well
+        (3, 1, "A", "sec-005-x", "\\other\\FILE.java", SQL.replace("879", "880") + "  // see ticket 9"),
+        (4, 1, "A", "SEC-006-X", "src/a/File.java", SQL),  # another rule
+        (5, 1, "B", "SEC-005-X", "src/a/File.java", SQL),  # another repository
+        (6, 1, "A", "SEC-005-X", "src/a/Other.java", SQL),  # another file
+        (7, 2, "A", "SEC-005-X", "File.java", SQL.replace("String sql", "myString sql")),
+        (8, 2, "A", "SEC-005-X", "File.java", 'String sql = "select shelf, hidden_segment from segment_issue where shelf = \'" + segmentKey + "\' limit 39";'),
+        (9, 3, "A", "SEC-005-X", "File.java", None),
+        (10, 3, "A", "SEC-005-X", "File.java", "   "),
+        (11, 3, None, "SEC-005-X", "File.java", SQL),
+    ]
+    assert _pairs(R.repeats(_frame(spark, rows))) == {(1, 3), (1, 7)}
+
+
+def test_against_brute_force(spark):
+    names = ["order", "invoice", "ledger", "slot", "grant", "shelf"]
+    rows = []
+    for i in range(240):
+        a, b = names[i % 6], names[(i * 7 // 6) % 6]
+        text = f"File {a}{b.title()} = new File({b}Root, request.getParameter(\"{a}_{i % 9}\")); return copy({a}, out{i % 17});"
+        rows.append((i + 1, i // 60, f"R{i % 2}", "SEC-006", f"dir/{i % 3}.java", text if i % 31 else text[:-9]))
+    df = _frame(spark, rows)
+    words = df.select("entry_id", "batch_no", R.place(df).alias("place"), R.statement_words(F.col("snippet")).alias("words")).collect()
+    expected = R.brute_force([{"entry_id": w.entry_id, "batch_no": w.batch_no, "place": w.place, "words": set(w.words)} for w in words])
+    assert expected and _pairs(R.repeats(df)) == expected
+
+
+def test_empty_one_batch_and_hot_group(spark):
+    assert R.repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert R.repeats(_frame(spark, [(1, 4, "A", "r", "f", SQL), (2, 4, "A", "r", "f", SQL)])).count() == 0
+    hot = [(i, i % 3, "A", "r", "f.py", SQL) for i in range(300)]
+    found = _pairs(R.repeats(_frame(spark, hot)))
+    assert len(found) == 200 and {a for a, _ in found} == {0}
+
+
+def test_very_long_snippet(spark):
+    long = " ".join(f"name{chr(97 + i % 26)}{i}" for i in range(6000))
+    found = _pairs(R.repeats(_frame(spark, [(1, 0, "A", "r", "f", long), (2, 1, "A", "r", "f", long + " more")])))
+    assert found == {(1, 2)}
+
+
+def test_index_reads_only_postings_of_its_tokens(spark, tmp_path):
+    index = R.HistoryIndex(str(tmp_path / "index"), buckets=4)
+    df = _frame(spark, [(1, 0, "A", "r", "f", SQL), (2, 1, "A", "r", "f", SQL)])
+    assert _pairs(R.repeats(df, index)) == {(1, 2)}
+    assert {p.name for p in (tmp_path / "index" / "postings").glob("bucket=*")} <= {f"bucket={i}" for i in range(4)}
