@@ -10,6 +10,7 @@ the models had not seen. Both models are fitted on a bounded sample of the label
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -89,6 +90,7 @@ class LevelModel:
         """documents: sentences and the mean label of each."""
         self.order, self.mixed, self.sharp = order, mixed, sharp
         rounded = [(s, min(LEVELS, max(1, int(level + 0.5)))) for s, level in documents if s]
+        random.Random(0).shuffle(rounded)
         self.levels = sorted({level for _, level in rounded})
         self.scale, self.shift = 1.0, np.zeros(LEVELS)
         if len(rounded) >= 10:
@@ -165,8 +167,8 @@ class LevelModel:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             g = p - hot
-            self.shift -= 0.5 * (g.mean(0) + 0.02 * self.shift)
-            self.scale = max(0.2, self.scale - 0.1 * float((g * logs).sum(1).mean() + 0.02 * (self.scale - 1)))
+            self.shift -= 0.5 * (g.mean(0) + 0.1 * self.shift)
+            self.scale = max(0.5, self.scale - 0.1 * float((g * logs).sum(1).mean() + 0.02 * (self.scale - 1)))
 
     def document(self, found: list[list[str]]) -> np.ndarray:
         """The calibrated probabilities of the levels for a document's sentences."""
