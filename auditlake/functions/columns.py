@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.catalog import EXTENSIONS, SEVERITIES
+from auditlake.storage import spread
 
 
 def normal_path(path: Column) -> Column:
@@ -64,7 +65,8 @@ def masked(text: Column) -> Column:
 
 def lines(sources: DataFrame, *keep: str, text: str = "raw_source") -> DataFrame:
     """keep, line_no, line: a row for each line, counted from 1; null texts give none, empty ones a single empty line."""
-    return sources.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    rows = spread(sources.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text")))
+    return rows.select(*keep, F.posexplode(F.split("_text", r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def half_up(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.storage import spread
 
 #: Secret patterns in order of priority (name, pattern, severity); the first match of a line counts.
 SECRETS = (
@@ -95,15 +96,20 @@ def line_findings(sources: DataFrame, rules: tuple = LINE_RULES) -> DataFrame:
             taken[f"t{i}"] = text.rlike(file_not)
             fires &= ~F.col(f"t{i}")
         checked.append(F.when(fires, F.struct(F.lit(key).alias("rule_key"), F.lit(confidence).alias("confidence"))))
-    rows = sources.withColumn("language", C.language_of(F.col("file_path"))).where("language is not null").withColumns(taken)
-    each = C.lines(rows, "source_id", "language", *taken)
+    known = sources.select("source_id", "raw_source", C.language_of(F.col("file_path")).alias("language")).where("language is not null and raw_source is not null")
+    each = C.lines(spread(known).withColumns(taken), "source_id", "language", *taken)
     return each.select("source_id", "line_no", F.explode(F.filter(F.array(*checked), lambda x: x.isNotNull())).alias("f")).select("source_id", "line_no", "f.*").distinct()
 
 
+def is_head(line: Column) -> Column:
+    """Whether a line begins a function: it needs a parenthesis, which is cheaper to see than the pattern."""
+    return line.contains("(") & line.rlike(FUNCTION)
+
+
 def enclosing_functions(sources: DataFrame) -> DataFrame:
     """(source_id, line_no, line, function): every line with the last function head at or before it, or moduleScope."""
     names = [F.regexp_extract("line", FUNCTION, i) for i in range(1, 6)]
-    name = F.coalesce(*[F.when(n != "", n) for n in names])
+    name = F.when(is_head(F.col("line")), F.coalesce(*[F.when(n != "", n) for n in names]))
     upto = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return C.lines(sources, "source_id").withColumn("function", F.coalesce(F.last(name, ignorenulls=True).over(upto), F.lit("moduleScope")))
 
@@ -111,7 +117,7 @@ def enclosing_functions(sources: DataFrame) -> DataFrame:
 def function_spans(sources: DataFrame) -> DataFrame:
     """(source_id, function, start_line, end_line): each function from its head to the line before the next head or the end."""
     rows = enclosing_functions(sources).where("function != 'moduleScope'")
-    head = F.col("line").rlike(FUNCTION)
+    head = is_head(F.col("line"))
     run = Window.partitionBy("source_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("nth", F.sum(head.cast("int")).over(run)).groupBy("source_id", "nth", "function").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line")).drop("nth")
 

@@ -1,10 +1,10 @@
 """Problem 2: a new batch against all history, through an incremental inverted index.
 
-The index lives in the shared folder as two growing tables: `accepted` (one row per accepted statement) and
-`postings` (one row per token of a statement's rare-token prefix, partitioned by a bucket of the token). A batch is
-cut into tokens in the index's fixed order, rarest first; its prefixes are joined with the postings on the token,
-candidates are filtered by length, and the overlap of the whole token sets is verified. What repeats nothing is
-appended to both tables. History is never read again as a whole: a probe touches the postings of its tokens only.
+The index lives in the shared folder as a growing table of postings, partitioned by a bucket of the token: one row for
+each token of an accepted statement's rare-token prefix, with the statement's words as numbers. A batch is cut into
+words in the index's fixed order, rarest first; its prefixes are joined with the postings on the token, candidates are
+filtered by length, and the overlap of the whole word sets is verified. What repeats nothing is appended to the
+postings. History is never read again as a whole: a probe touches the postings of its tokens only.
 
 Tokens carry the place of the statement (repository, rule, file name), so a common word is no hot key by itself, and
 equal statements of a batch are one probe, however many copies there are.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.storage import shared_dir, staged
+from auditlake.storage import shared_dir, spread, staged
 
 #: Comments, with string literals kept as group 1; and the words of identifiers, and numbers.
 COMMENT = r'''("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*'''
@@ -58,56 +58,41 @@ class HistoryIndex:
     similarity: float = 0.6
     edits: int = 4
     slack: int = 4
-    buckets: int = 16
+    buckets: int = 8
     filled: bool = False
 
-    accepted_schema = "first_id bigint, words array<string>"
-    postings_schema = "token bigint, first_id bigint, n int, bucket int"
+    schema = "token bigint, first_id bigint, n int, known array<bigint>, bucket int"
 
-    def prefixes(self, df: DataFrame, own: str) -> DataFrame:
-        """(own, n, token, bucket): the rare-token prefix of each row's ordered words."""
+    def prefixes(self, df: DataFrame) -> DataFrame:
+        """(own_id, words, n, token, bucket): the rare-token prefix of each row's ordered words."""
         n = F.size("words")
         length = n - F.ceil(n * F.lit(self.similarity) - 1e-9).cast("int") + 1
         token = F.explode(F.transform(F.slice("words", 1, length), lambda w: F.xxhash64("place", w)))
-        return (
-            df.where(n > 0).select(own, n.alias("n"), token.alias("token"))
-            .withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
-        )
+        return df.where(n > 0).select("own_id", "words", n.alias("n"), token.alias("token")).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
 
     def probe(self, statements: DataFrame) -> DataFrame:
         """(own_id, first_id, score): the most similar accepted statement of each statement that repeats one."""
-        spark = statements.sparkSession
-        postings = spark.read.schema(self.postings_schema).parquet(f"{self.path}/postings")
-        accepted = spark.read.schema(self.accepted_schema).parquet(f"{self.path}/accepted")
-        mine = self.prefixes(statements, "own_id").alias("a")
+        postings = statements.sparkSession.read.schema(self.schema).parquet(self.path)
         near = F.lit(self.similarity)
-        pairs = (
-            mine.join(postings.alias("b"), ["bucket", "token"])
-            .where((F.col("b.n") >= F.col("a.n") * near) & (F.col("a.n") >= F.col("b.n") * near))
-            .select("own_id", "first_id").distinct()
-        )
-        both = pairs.join(statements.select("own_id", F.col("words").alias("mine")), "own_id").join(accepted, "first_id")
-        common = F.size(F.array_intersect("mine", "words"))
-        left, right = F.size("mine") - common, F.size("words") - common
-        score = common / (F.size("mine") + F.size("words") - common)
+        pairs = self.prefixes(statements).alias("a").join(postings.alias("b"), ["bucket", "token"]).where((F.col("b.n") >= F.col("a.n") * near) & (F.col("a.n") >= F.col("b.n") * near))
+        common = F.size(F.array_intersect("words", "known"))
+        rated = pairs.select("own_id", "first_id", F.col("a.n").alias("p"), F.col("b.n").alias("q"), common.alias("c")).select(
+            "own_id", "first_id", (F.col("p") - F.col("c")).alias("l"), (F.col("q") - F.col("c")).alias("r"), (F.col("c") / (F.col("p") + F.col("q") - F.col("c"))).alias("score")
+        )
+        alike = (F.col("score") >= near) & ((F.col("l") + F.col("r") <= self.edits) | (F.least("l", "r") <= 1) & (F.greatest("l", "r") <= self.slack))
         best = F.max_by(F.struct("first_id", "score"), F.struct("score", -F.col("first_id")))
-        return (
-            both.select("own_id", "first_id", score.alias("score"), left.alias("l"), right.alias("r"))
-            .where((F.col("score") >= near) & ((F.col("l") + F.col("r") <= self.edits) | (F.least("l", "r") <= 1) & (F.greatest("l", "r") <= self.slack)))
-            .groupBy("own_id").agg(best.alias("m")).select("own_id", "m.first_id", "m.score")
-        )
+        return rated.where(alike).groupBy("own_id").agg(best.alias("m")).select("own_id", "m.first_id", "m.score")
 
     def append(self, statements: DataFrame) -> None:
-        """Accepts statements: adds them and their postings."""
-        statements.select(F.col("own_id").alias("first_id"), "words").write.mode("append").parquet(f"{self.path}/accepted")
-        self.prefixes(statements, "own_id").select("token", F.col("own_id").alias("first_id"), "n", "bucket").repartition(
+        """Accepts statements: adds their postings."""
+        self.prefixes(statements).select("token", F.col("own_id").alias("first_id"), "n", F.col("words").alias("known"), "bucket").repartition("bucket").write.mode("append").partitionBy(
             "bucket"
-        ).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        ).parquet(self.path)
         self.filled = True
 
 
 def ordered_words(entries: DataFrame, first_batch: int) -> DataFrame:
-    """Entries with place and words, the words in one fixed order: by how many statements of the first batch hold them.
+    """Entries with place and words, the words as numbers in one fixed order: by how many entries of the first batch hold them.
 
     Words unknown to the first history come first, ties in the order of the words; any fixed order gives the same
     pairs, this one the shortest posting lists.
@@ -116,8 +101,8 @@ def ordered_words(entries: DataFrame, first_batch: int) -> DataFrame:
     base = staged(base, "p2-words")
     counts = base.where(F.col("batch_no") == first_batch).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     each = base.select("entry_id", F.explode("words").alias("word")).join(counts, "word", "left")
-    order = each.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("words"))
-    return base.drop("words").join(order, "entry_id")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))
+    return base.drop("words").join(each.groupBy("entry_id").agg(F.transform(order, lambda x: F.xxhash64(x["word"])).alias("words")), "entry_id")
 
 
 def repeats(entries: DataFrame, index: HistoryIndex | None = None) -> DataFrame:
@@ -129,33 +114,30 @@ def repeats(entries: DataFrame, index: HistoryIndex | None = None) -> DataFrame:
     batch_no or snippet, or a blank snippet, repeat nothing and are not accepted. An empty table gives no rows.
     """
     spark = entries.sparkSession
-    entries = entries.where("entry_id is not null and batch_no is not null and snippet is not null")
+    entries = spread(entries.where("entry_id is not null and batch_no is not null and snippet is not null").select("entry_id", "batch_no", "repository_id", "rule_id", "file_path", "snippet"))
     numbers = [r[0] for r in entries.select("batch_no").distinct().orderBy("batch_no").collect()]
     schema = "first_entry_id bigint, entry_id bigint, score double"
     if not numbers:
         return spark.createDataFrame([], schema)
-    index = index or HistoryIndex(f"{shared_dir(spark)}/p2-index-{uuid.uuid4().hex}")
-    words = ordered_words(entries, numbers[0]).withColumn("statement", F.xxhash64("place", F.array_sort("words")))
-    root = f"{shared_dir(spark)}/staged/p2-batches-{uuid.uuid4().hex}"
-    words.repartition("batch_no", F.pmod("statement", F.lit(index.buckets))).write.partitionBy("batch_no").parquet(root)
-    kinds = "entry_id bigint, place bigint, words array<string>, statement bigint, batch_no int"
-    found = f"{shared_dir(spark)}/staged/p2-found-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/staged/p2-{uuid.uuid4().hex}"
+    index = index or HistoryIndex(f"{root}/postings")
+    words = staged(ordered_words(entries, numbers[0]).withColumn("statement", F.xxhash64("place", F.array_sort("words"))), "p2-statements")
+    own = words.groupBy("batch_no", "statement").agg(F.min("entry_id").alias("own_id"), F.first("place").alias("place"), F.first("words").alias("words"))
+    own.repartition("batch_no", F.pmod("statement", F.lit(index.buckets))).write.partitionBy("batch_no").parquet(f"{root}/own")
+    kinds = "statement bigint, own_id bigint, place bigint, words array<bigint>, batch_no int"
     for number in numbers:
-        batch = spark.read.schema(kinds).parquet(root).where(F.col("batch_no") == number)
-        own = batch.groupBy("statement").agg(F.min("entry_id").alias("own_id"), F.first("place").alias("place"), F.first("words").alias("words"))
+        batch = spark.read.schema(kinds).parquet(f"{root}/own").where(F.col("batch_no") == number)
         if index.filled:
-            hits = staged(index.probe(own), "p2-hits")
-            fresh = own.join(hits.select("own_id"), "own_id", "left_anti")
-            hit = own.select("statement", "own_id").join(hits, "own_id")
-            batch.join(hit.select("statement", "first_id", "score"), "statement").select(
-                F.col("first_id").alias("first_entry_id"), "entry_id", "score"
-            ).write.mode("append").parquet(found)
-        else:
-            fresh = own
-        index.append(fresh)
+            hits = f"{root}/hits/batch_no={number}"
+            index.probe(batch).write.parquet(hits)
+            batch = batch.join(spark.read.schema("own_id bigint").parquet(hits), "own_id", "left_anti")
+        index.append(batch)
     if len(numbers) == 1:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(found)
+    hit = spark.read.schema("own_id bigint, first_id bigint, score double, batch_no int").parquet(f"{root}/hits")
+    keyed = spark.read.schema(kinds).parquet(f"{root}/own").select("own_id", "batch_no", "statement").join(hit, ["own_id", "batch_no"])
+    members = words.select("entry_id", "batch_no", "statement").join(keyed.select("batch_no", "statement", "first_id", "score"), ["batch_no", "statement"])
+    return members.select(F.col("first_id").alias("first_entry_id"), "entry_id", "score")
 
 
 def brute_force(entries: list[dict], similarity: float = 0.6, edits: int = 4, slack: int = 4) -> set[tuple[int, int]]:

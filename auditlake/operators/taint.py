@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.operators.findings import FUNCTION, enclosing_functions
+from auditlake.operators.findings import enclosing_functions, is_head
 from auditlake.storage import staged
 
 #: Calls whose result comes from outside, sinks, and words that stand for a check or cleaning.
@@ -28,7 +28,7 @@ def statements(sources: DataFrame) -> DataFrame:
     """(source_id, function, line_no, head, target, params, words, outside, sink, cleaned) of the lines inside functions."""
     rows = enclosing_functions(sources).where("function != 'moduleScope'")
     target = F.regexp_extract("line", ASSIGNED, 1)
-    head = F.col("line").rlike(FUNCTION)
+    head = is_head(F.col("line"))
     read = F.when(target != "", F.regexp_extract("line", ASSIGNED, 2)).otherwise(F.col("line"))
     return rows.select(
         "source_id", "function", "line_no", head.alias("head"), F.when(~head, F.nullif(target, F.lit(""))).alias("target"),

@@ -143,7 +143,7 @@ def findings_by_repository(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("repository_id", "rule_key", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("source_id").alias("files"))
 
 
-_NAME = "coalesce(" + ", ".join(f"nullif(regexp_extract(line, {_quoted(findings.FUNCTION)}, {i}), '')" for i in range(1, 6)) + ")"
+_NAME = "case when contains(line, '(') then coalesce(" + ", ".join(f"nullif(regexp_extract(line, {_quoted(findings.FUNCTION)}, {i}), '')" for i in range(1, 6)) + ") end"
 _ENCLOSED = f"(select source_id, line_no, line, coalesce(last_value({_NAME} ignore nulls) over (partition by source_id order by line_no rows unbounded preceding), 'moduleScope') as function from {_lines('source_id')})"
 
 
@@ -153,7 +153,7 @@ def enclosing_function(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source_id", "function").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
-@query("function_spans", f"""select source_id, function, min(line_no) as start_line, max(line_no) as end_line from (select *, sum(cast(regexp_matches(line, {_quoted(findings.FUNCTION)}) as int))
+@query("function_spans", f"""select source_id, function, min(line_no) as start_line, max(line_no) as end_line from (select *, sum(cast((contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) as int))
   over (partition by source_id order by line_no rows unbounded preceding) as nth from {_ENCLOSED} where function != 'moduleScope') group by source_id, nth, function""")
 def function_spans(spark: SparkSession, d: str) -> DataFrame:
     return findings.function_spans(table(spark, d, "sources"))
@@ -413,7 +413,7 @@ def running_delta(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entry_id", F.sum(F.coalesce("end_line", "start_line") - F.col("start_line") + 1).over(w).alias("lines_before"))
 
 
-@query("nearest_function", f"""with s as (select repository_id, lower({_file("file_path")}) as file, f.start_line as line_no from (select source_id, function, min(line_no) as start_line from (select *, sum(cast(regexp_matches(line, {_quoted(findings.FUNCTION)}) as int))
+@query("nearest_function", f"""with s as (select repository_id, lower({_file("file_path")}) as file, f.start_line as line_no from (select source_id, function, min(line_no) as start_line from (select *, sum(cast((contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) as int))
     over (partition by source_id order by line_no rows unbounded preceding) as nth from {_ENCLOSED} where function != 'moduleScope') group by source_id, nth, function) f join sources using (source_id)),
   w as (select entry_id as wanted_id, repository_id, lower({_file("file_path")}) as file, start_line as expected from baseline_entries where start_line is not null),
   c as (select wanted_id, line_no, abs(expected - line_no) as distance, row_number() over (partition by wanted_id order by abs(expected - line_no), line_no) as nth from w join s on s.repository_id = w.repository_id and s.file = w.file)

@@ -87,10 +87,10 @@ def patch_diffs(spark: SparkSession, d: str) -> DataFrame:
     return diffs.generated(rows, "entry_id", "file_path", "snippet", "patched")
 
 
-_STATEMENTS = rf"""(select source_id, function, line_no, regexp_matches(line, {_quoted(findings.FUNCTION)}) as head, case when not regexp_matches(line, {_quoted(findings.FUNCTION)}) then nullif(regexp_extract(line, {_quoted(taint.ASSIGNED)}, 1), '') end as target,
+_STATEMENTS = rf"""(select source_id, function, line_no, (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) as head, case when not (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) then nullif(regexp_extract(line, {_quoted(taint.ASSIGNED)}, 1), '') end as target,
   regexp_extract_all(regexp_replace(regexp_extract(line, '\((.*)$', 1), {_quoted(taint.SCALAR)}, ' ', 'g'), {_quoted(taint.PARAMETER)}, 1) as params,
   list_distinct(regexp_extract_all(regexp_replace(case when regexp_extract(line, {_quoted(taint.ASSIGNED)}, 1) != '' then regexp_extract(line, {_quoted(taint.ASSIGNED)}, 2) else line end, '"[^"]*"|''[^'']*''', ' ', 'g'), {_quoted(taint.WORD)})) as words,
-  regexp_matches(line, {_quoted(taint.OUTSIDE)}) as outside, not regexp_matches(line, {_quoted(findings.FUNCTION)}) and regexp_matches(line, {_quoted(taint.SINKS)}) as sink, regexp_matches(line, {_quoted(taint.CLEANED)}) as cleaned
+  regexp_matches(line, {_quoted(taint.OUTSIDE)}) as outside, not (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) and regexp_matches(line, {_quoted(taint.SINKS)}) as sink, regexp_matches(line, {_quoted(taint.CLEANED)}) as cleaned
   from {_ENCLOSED} where function != 'moduleScope')"""
 _TAINT_STEP = """(select r.source_id, r.function, r.target as variable, min(r.line_no) as pos, {n} as hops, max(r.cleaned) as cleaned from k{m} k join reads r on r.source_id = k.source_id and r.function = k.function and r.variable = k.variable
   where k.hops = {m} and r.target is not null and r.line_no > k.pos and r.target != k.variable and not exists (select 1 from k{m} o where o.source_id = r.source_id and o.function = r.function and o.variable = r.target) group by all)"""
