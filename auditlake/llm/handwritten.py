@@ -146,7 +146,7 @@ def copied_share(sources: DataFrame) -> DataFrame:
     """(source_id, copied): the share of a file's lines that files of that name in other repositories hold as well."""
     lines = F.array_distinct(F.transform(F.split("raw_source", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"\s+", "")))
     each = (
-        sources.where(F.col("raw_source").rlike(r"\S"))
+        spread(sources.where(F.col("raw_source").rlike(r"\S")).select("source_id", "repository_id", "file_path", "raw_source"))
         .select("source_id", "repository_id", stem(F.col("file_path")).alias("stem"), lines.alias("lines"))
         .select("source_id", "repository_id", F.explode(F.transform(F.filter("lines", lambda x: F.length(x) >= LEAST_LINE), lambda x: F.xxhash64("stem", x))).alias("line"))
     )
