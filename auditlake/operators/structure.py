@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
-from auditlake.operators import findings
+from auditlake.operators import findings, taint
 
 #: Wrappers that say nothing about the type inside them, a controller's mark, and an endpoint's head with its type and name.
 WRAPPERS = r"\b(?:List|Set|Collection|Iterable|ResponseEntity|Optional|Map|Mono|Flux)<|[<>\[\]?]|\b\w+\s*,"
 CONTROLLER = r"@(?:Rest)?Controller"
 ENDPOINT = r"^\s*public\s+([A-Z][\w<>\[\], ?]*)\s+[a-z]\w*\s*\("
 TYPE = r"\b[A-Z]\w+"
+#: A constant's definition by a literal, and the operands in the rest of a sink's call.
+CONSTANT = r"^\s*(?:(?:public|private|protected|static|final|const|export|val|let|var|String|int|long)\s+)*([A-Z][A-Z0-9_]*)\s*(?::\s*\w+\s*)?=\s*[\"'`0-9]"
+OPERAND = r"([A-Za-z_]\w*)\s*(?:[,)+%;]|$)"
+STRINGS = r"\"[^\"]*\"|'[^']*'|`[^`]*`"
 
 
 def clean_type(name: Column) -> Column:
@@ -76,3 +80,18 @@ def annotated_functions(sources: DataFrame, reach: int = 2) -> DataFrame:
     """
     marks = findings.facts(sources).where("kind = 'annotation'").select("source_id", F.col("name").alias("annotation"), F.explode(F.sequence("line_no", F.col("line_no") + reach)).alias("start_line"))
     return findings.function_spans(sources).select("source_id", "function", "start_line").join(marks, ["source_id", "start_line"]).select("source_id", "function", "start_line", "annotation").distinct()
+
+
+def sink_operands(sources: DataFrame) -> DataFrame:
+    """(source_id, line_no, operands, unproven): names that a sink's call takes, and how many are no constants of the file.
+
+    A constant is a name in capitals that its file gives a literal; a call with no unproven operand takes literals and
+    constants alone.
+    """
+    rows = C.lines(sources, "source_id")
+    known = rows.select("source_id", F.regexp_extract("line", CONSTANT, 1).alias("name")).where("name != ''").distinct()
+    rest = F.regexp_extract("line", taint.SINKS + r"(.*)$", 1)
+    names = F.array_distinct(F.regexp_extract_all(F.regexp_replace(rest, STRINGS, " "), F.lit(OPERAND), F.lit(1)))
+    calls = rows.where(F.col("line").rlike(taint.SINKS) & ~findings.is_head(F.col("line"))).select("source_id", "line_no", names.alias("names"))
+    each = calls.select("source_id", "line_no", F.explode_outer("names").alias("name")).join(known.withColumn("proven", F.lit(1)), ["source_id", "name"], "left")
+    return each.groupBy("source_id", "line_no").agg(F.count("name").alias("operands"), F.count_if(F.col("name").isNotNull() & F.col("proven").isNull()).alias("unproven"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
-from auditlake.operators import structure, taint
+from auditlake.operators import findings, structure, taint
 from auditlake.plans.audit import _FACTS, _HEADERS, _KEY, _lines, _quoted
 from auditlake.plans.audit import SQL as AUDIT_SQL
 from auditlake.plans.review import _TAINT
@@ -47,6 +47,10 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "baseline_entries").groupBy("repository_id", radius.alias("radius")).agg(F.count(F.lit(1)).alias("entries"))
 
 
+def sink_operands(spark: SparkSession, d: str) -> DataFrame:
+    return structure.sink_operands(table(spark, d, "sources"))
+
+
 def taint_traces(spark: SparkSession, d: str) -> DataFrame:
     """Flows as trace texts, cut into hops again."""
     flows = taint.flows(table(spark, d, "sources"))
@@ -56,7 +60,7 @@ def taint_traces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "resolved_calls": resolved_calls, "exposed_types": exposed_types, "consumers": consumers, "annotated_functions": annotated_functions, "blast_radius": blast_radius, "taint_traces": taint_traces,
+    "resolved_calls": resolved_calls, "exposed_types": exposed_types, "consumers": consumers, "annotated_functions": annotated_functions, "blast_radius": blast_radius, "taint_traces": taint_traces, "sink_operands": sink_operands,
 }
 SQL = {
     "resolved_calls": rf"""with {_LS}, {_HEAD}, {_SPANS}, m as materialized (select distinct f.source_id, f.function as name, h.repository_id, lower(h.primary_class) as class from f join h using (source_id)),
@@ -73,5 +77,10 @@ SQL = {
   select h.source_id, min(w.source_id) as consumer_id from h join w on w.repository_id = h.repository_id and w.word = h.primary_class and w.source_id != h.source_id where h.primary_class != 'UnknownClass' group by 1""",
     "annotated_functions": f"""with {_LS}, {_SPANS} select distinct f.source_id, f.function, f.start_line, x.name as annotation from f join ({_FACTS}) x on x.source_id = f.source_id and f.start_line between x.line_no and x.line_no + 2 where x.kind = 'annotation'""",
     "blast_radius": f"""select repository_id, case {" ".join(f"when {_KEY} = '{k}' then '{v}'" for k, v in RADIUS.items())} else 'SERVICE_COMPONENT' end as radius, count(*) as entries from baseline_entries group by all""",
+    "sink_operands": rf"""with {_LS}, k as materialized (select distinct source_id, regexp_extract(line, {_quoted(structure.CONSTANT)}, 1) as name from ls where regexp_extract(line, {_quoted(structure.CONSTANT)}, 1) != ''),
+  c as (select source_id, line_no, list_distinct(regexp_extract_all(regexp_replace(regexp_extract(line, {_quoted(taint.SINKS + "(.*)$")}, 1), {_quoted(structure.STRINGS)}, ' ', 'g'), {_quoted(structure.OPERAND)}, 1)) as names
+    from ls where regexp_matches(line, {_quoted(taint.SINKS)}) and not (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)}))),
+  e as (select source_id, line_no, unnest(case when len(names) = 0 then [null] else names end) as name from c)
+  select e.source_id, e.line_no, count(e.name) as operands, count_if(e.name is not null and k.name is null) as unproven from e left join k on k.source_id = e.source_id and k.name = e.name group by all""",
     "taint_traces": f"""select source_id, function || ' -> ' || variable || ' -> line ' || sink_line as trace, '1:' || function || '; 2:' || variable || '; 3:line ' || sink_line as numbered from ({_TAINT})""",
 }

@@ -28,6 +28,12 @@ def test_names_across_files(spark):
     assert structure.resolved_calls(src.limit(0)).count() == 0 and structure.consumers(src.limit(0)).count() == 0
 
 
+def test_sink_operands(spark):
+    text = 'class A {\n    static final String ROOT = "/srv";\n    public void f(String x) {\n        open(ROOT + "a");\n        open(ROOT + x);\n        query("plain");\n    }\n}\n'
+    got = {r.line_no: (r.operands, r.unproven) for r in structure.sink_operands(_frame(spark, [("R", "a.java", text), ("R", "n.java", None)])).collect()}
+    assert got == {4: (1, 0), 5: (2, 1), 6: (0, 0)}
+
+
 def test_nothing_outside_llm_imports_it():
     root = Path(__file__).resolve().parent.parent / "auditlake"
     for path in root.rglob("*.py"):
