@@ -180,10 +180,11 @@ def packed(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", size: str =
     each = items.withColumn("kind", F.explode(_kind_list(kinds))).select(
         "doc_id", "n", "salt", "kind.*", F.floor(F.col("n") / F.col("kind.capacity")).cast("long").alias("whole"), (F.col("n") % F.col("kind.capacity")).alias("size")
     )
-    full = each.where("whole > 0").select(
-        "container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "whole")).alias("piece_no")
+    again = F.row_number().over(Window.partitionBy("container_kind", "doc_id").orderBy("n"))
+    full = each.where("whole > 0").withColumn("nth", again).select(
+        "container_kind", "capacity", "doc_id", "nth", F.explode(F.sequence(F.lit(1).cast("long"), "whole")).alias("piece_no")
     ).select(
-        "container_kind", F.concat_ws("-", "container_kind", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string")).alias("container_id"),
+        "container_kind", F.concat_ws("-", "container_kind", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string"), F.when(F.col("nth") > 1, F.col("nth").cast("string"))).alias("container_id"),
         "capacity", F.col("capacity").alias("used"), "doc_id", F.col("piece_no").cast("int"), F.col("capacity").alias("tokens"),
     )
     parts = each.where("size > 0 or n = 0")

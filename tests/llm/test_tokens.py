@@ -116,6 +116,15 @@ def test_packing(spark):
     assert len(only_empty) == 4 and {x.tokens for x in only_empty} == {0}
 
 
+def test_packing_repeated_rows(spark):
+    df = spark.createDataFrame([(1, 250)] * 3 + [(2, 7)] * 40, "doc_id long, n_tokens long")
+    rows = P.packed(df, spark.createDataFrame([("a", 100)], "container_kind string, capacity_tokens int")).collect()
+    used = Counter()
+    for r in rows:
+        used[r.container_id] += r.tokens
+    assert sum(used.values()) == 3 * 250 + 40 * 7 and max(used.values()) <= 100 and all(r.used == used[r.container_id] for r in rows)
+
+
 def test_plan_uses_counts_exactly():
     r = random.Random(4)
     for capacity in (10, 64, 300):
