@@ -24,6 +24,9 @@ from auditlake.storage import spread
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: Ids after which a task hands rows on, so that long texts do not pile up.
+FLUSH = 1_000_000
+
 _machines: dict[str, BpeTransducer] = {}
 
 
@@ -49,14 +52,15 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(raw.value)
         for batch in batches:
-            flat: list[int] = []
-            ends = np.zeros(batch.num_rows + 1, np.int32)
-            for i, value in enumerate(batch.column(1).to_pylist()):
+            flat, ends, first = [], [0], 0
+            for i, value in enumerate(batch.column(1).to_pylist(), 1):
                 if value:
                     flat += machine.encode(value)
-                ends[i + 1] = len(flat)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
+                ends.append(len(flat))
+                if len(flat) >= FLUSH or i == batch.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), ids], [key, "ids"])
+                    flat, ends, first = [], [0], i
 
     kind = df.schema[key].dataType.simpleString()
     return src.mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
