@@ -64,9 +64,13 @@ class HistoryIndex:
     schema = "token bigint, first_id bigint, n int, known array<bigint>, bucket int"
 
     def prefixes(self, df: DataFrame) -> DataFrame:
-        """(own_id, words, n, token, bucket): the rare-token prefix of each row's ordered words."""
-        n = F.size("words")
-        length = n - F.ceil(n * F.lit(self.similarity) - 1e-9).cast("int") + 1
+        """(own_id, words, n, token, bucket): the rare-token prefix of each row's ordered words.
+
+        Partners share at least similarity * n words, and all but `most` of them, as more differing words are never
+        alike: of two such sets, the prefixes that leave out one word less than they must share have a word in common.
+        """
+        n, most = F.size("words"), max(self.edits, self.slack)
+        length = F.least(n - F.ceil(n * F.lit(self.similarity) - 1e-9).cast("int"), F.lit(most)) + 1
         token = F.explode(F.transform(F.slice("words", 1, length), lambda w: F.xxhash64("place", w)))
         return df.where(n > 0).select("own_id", "words", n.alias("n"), token.alias("token")).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
 
@@ -74,7 +78,7 @@ class HistoryIndex:
         """(own_id, first_id, score): the most similar accepted statement of each statement that repeats one."""
         postings = statements.sparkSession.read.schema(self.schema).parquet(self.path)
         near = F.lit(self.similarity)
-        pairs = self.prefixes(statements).alias("a").join(postings.alias("b"), ["bucket", "token"]).where((F.col("b.n") >= F.col("a.n") * near) & (F.col("a.n") >= F.col("b.n") * near))
+        pairs = self.prefixes(statements).alias("a").join(postings.alias("b"), ["bucket", "token"]).where((F.col("b.n") >= F.col("a.n") * near) & (F.col("a.n") >= F.col("b.n") * near) & (F.abs(F.col("a.n") - F.col("b.n")) <= max(self.edits, self.slack)))
         common = F.size(F.array_intersect("words", "known"))
         rated = pairs.select("own_id", "first_id", F.col("a.n").alias("p"), F.col("b.n").alias("q"), common.alias("c")).select(
             "own_id", "first_id", (F.col("p") - F.col("c")).alias("l"), (F.col("q") - F.col("c")).alias("r"), (F.col("c") / (F.col("p") + F.col("q") - F.col("c"))).alias("score")
