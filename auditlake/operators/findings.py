@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
+from auditlake.operators.blocks import block_findings
 from auditlake.storage import spread
 
 #: Secret patterns in order of priority (name, pattern, severity); the first match of a line counts.
@@ -48,6 +49,21 @@ LINE_RULES = (
     ("ARCH-003", "JAVA,KOTLIN", r"System\.(currentTimeMillis|nanoTime)\(\)|Math\.random\(\)|new Random\(", "", "", 0.9),
 )
 
+#: Rows of LINE_RULES whose condition needs more than the line: blocks.py has them.
+IN_BLOCKS = (("SEC-001", "KOTLIN"), ("SEC-001", "PYTHON"), ("SEC-002", "JAVA"), ("SEC-003", "JAVA,KOTLIN"))
+#: All rules that one line decides: those of LINE_RULES, which the SQL reads, and more.
+RULES = tuple(r for r in LINE_RULES if r[:2] not in IN_BLOCKS) + (
+    ("SEC-004", "KOTLIN", r"\.exec\(.*Runtime|Runtime.*\.exec\(", "", "", 0.96),
+    ("SEC-005", "KOTLIN", r"^(?=.*(?:rawQuery|execSQL|prepareStatement|createQuery)\().*[$+]", "", "", 0.97),
+    ("SEC-005", "KOTLIN", r"^(?=.*(?:sql =|query =|val sql|val query))(?=.*(?i:select |insert |update |delete )).*[$+]", "", "", 0.97),
+    ("SEC-006", "KOTLIN", r"^(?=.*(?:File\(|FileInputStream\(|Path\.of\()).*[$+]", "", r"\.normalize\(\)|\.canonicalFile", 0.95),
+    ("SEC-012", "KOTLIN", r"^(?=.*URL\().*\.(?:openConnection|readText|openStream)\(\)", "", "allowlist|whitelist", 0.95),
+    ("SEC-019", "KOTLIN", r"Random\(\)|java\.util\.Random|kotlin\.random\.Random", "", r"(?is)\A(?!.*(?:token|secret|password))", 0.94),
+    ("SEC-005", "JAVASCRIPT,TYPESCRIPT", r"^(?=.*(?:\.query\(|db\.execute\()).*(?:\$\{|\+)", "", "", 0.98),
+    ("SEC-013", "JAVASCRIPT,TYPESCRIPT", r"^(?=.*jwt\.verify\().*(?:algorithms: \[(?:'none'|\"none\")\]|algorithm: 'none')", "", "", 0.99),
+    ("SEC-018", "JAVASCRIPT,TYPESCRIPT", r"crypto\.createCipher(?:iv)?\(\s*['\"]des[^'\"]*['\"]", "", "", 0.99),
+)
+
 #: A function's head by language, with its name as a group.
 FUNCTION = (
     r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)|\bfun\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)|\bfunction\s*\*?\s*([A-Za-z_]\w*)"
@@ -80,11 +96,12 @@ def secret_findings(sources: DataFrame) -> DataFrame:
     )
 
 
-def line_findings(sources: DataFrame, rules: tuple = LINE_RULES) -> DataFrame:
-    """(source_id, line_no, rule_key, confidence): all rules that a line breaks, with one pass over the lines.
+def line_findings(sources: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """(source_id, line_no, rule_key, confidence): all rules that a line breaks, once, with the highest confidence.
 
-    A rule of a language the file is not in, with a pattern the line must not hold, or taken back by its file, does not
-    fire. Files of unknown languages and null texts give no rows.
+    One pass over the lines, and one over the files for rules that need more than the line. A rule of a language the
+    file is not in, with a pattern the line must not hold, or taken back by its file, does not fire. Files of unknown
+    languages and null texts give no rows.
     """
     lang, text, line = F.col("language"), F.col("raw_source"), F.col("line")
     checked, taken = [], {}
@@ -98,7 +115,8 @@ def line_findings(sources: DataFrame, rules: tuple = LINE_RULES) -> DataFrame:
         checked.append(F.when(fires, F.struct(F.lit(key).alias("rule_key"), F.lit(confidence).alias("confidence"))))
     known = sources.select("source_id", "raw_source", C.language_of(F.col("file_path")).alias("language")).where("language is not null and raw_source is not null")
     each = C.lines(spread(known).withColumns(taken), "source_id", "language", *taken)
-    return each.select("source_id", "line_no", F.explode(F.filter(F.array(*checked), lambda x: x.isNotNull())).alias("f")).select("source_id", "line_no", "f.*").distinct()
+    single = each.select("source_id", "line_no", F.explode(F.filter(F.array(*checked), lambda x: x.isNotNull())).alias("f")).select("source_id", "line_no", "f.*")
+    return single.unionByName(block_findings(known)).groupBy("source_id", "line_no", "rule_key").agg(F.max("confidence").alias("confidence"))
 
 
 def is_head(line: Column) -> Column:

@@ -47,6 +47,38 @@ def test_line_rules_guards_and_functions(spark):
     assert spans == {("run", 2, 4), ("stop", 5, 9)}
 
 
+def test_line_rules_of_blocks_and_missing_ones(spark):
+    java = """class A {
+  private volatile int n = 0, m;
+  boolean ok(String s) throws IOException {
+    n++;
+    m += 2; // n++
+    int k = n;
+    FileReader r = new FileReader(s);
+    FileReader q = new FileReader(s);
+    try (BufferedReader b = new BufferedReader(new FileReader(s))) {
+      return k == 1;
+    } catch (IOException e) {
+      if (k > 1) { log("}"); }
+      return true;
+    } catch (Exception e) {
+      return false;
+    } finally {
+      r.close();
+    }
+  }
+}"""
+    kotlin = 'fun a() {\n  try { x() } catch (e: Exception) {\n    return true\n  }\n  try { x() } catch (e: Exception) { return false }\n  db.rawQuery("SELECT * FROM t WHERE a = $b", null)\n}'
+    python = "def f():\n    try:\n        x()\n    except Exception:\n        log()\n        return True\n    try:\n        x()\n    except Exception:\n        return None\n    requests.get(\n        'https://a',\n        verify=False)"
+    script = "function b(n) {\n  if (!path.resolve(n).startsWith(base)) throw n;\n  return fs.readFile(`/a/${n}`);\n}\nfunction a(n) {\n  return fs.readFileSync('/a/' + n);\n}\njwt.verify(t, k, { algorithms: ['none'] });"
+    df = _sources(spark, [("A.java", java), ("a.kt", kotlin), ("a.py", python), ("a.ts", script)])
+    got = {(r.source_id, r.line_no, r.rule_key, r.confidence) for r in findings.line_findings(df).collect()}
+    assert got == {
+        (1, 4, "SEC-003", 0.97), (1, 5, "SEC-003", 0.97), (1, 8, "SEC-002", 0.95), (1, 11, "SEC-001", 0.98), (2, 2, "SEC-001", 0.98), (2, 6, "SEC-005", 0.97),
+        (3, 4, "SEC-001", 0.94), (3, 11, "SEC-001", 0.99), (4, 6, "SEC-006", 0.95), (4, 8, "SEC-013", 0.99),
+    }
+
+
 ENTRIES = "entry_id long, repository_id string, rule_id string, file_path string, method_name string, start_line int, fingerprint string, baseline_id int"
 
 
