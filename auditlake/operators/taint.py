@@ -1,8 +1,8 @@
 """Tainted values inside functions: from parameters and request values over assignments to sinks.
 
 Functions are cut by line; assignments and sinks become rows with the words they read. A value is followed from
-assignment to later assignment by joins on (source, function, word), a bounded number of steps; each step keeps a
-variable's earliest line only, so cycles end.
+assignment to later assignment by joins on (source, function, word), until nothing new is reached; a variable that is
+known is reached again on an earlier line only, so cycles end.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def statements(sources: DataFrame) -> DataFrame:
     )
 
 
-def flows(sources: DataFrame, steps: int = 4) -> DataFrame:
+def flows(sources: DataFrame) -> DataFrame:
     """(source_id, function, sink_line, variable, hops, cleaned): sinks that read a tainted variable.
 
     Hops counts the assignments from the outside value to the variable. cleaned says whether the last assignment to the
@@ -49,15 +49,20 @@ def flows(sources: DataFrame, steps: int = 4) -> DataFrame:
     reads = rows.where("not head").select(*key, "line_no", "target", "sink", "cleaned", F.explode("words").alias("variable"))
     given = rows.where("head").select(*key, F.explode("params").alias("variable"), "line_no", F.lit(False).alias("cleaned"))
     called = rows.where("outside and target is not null").select(*key, F.col("target").alias("variable"), "line_no", "cleaned")
-    begin = given.unionByName(called).groupBy(*key, "variable").agg(F.min("line_no").alias("at"), F.min(F.lit(0)).alias("hops"), F.max("cleaned").alias("cleaned"))
-    known = begin
-    frontier = begin
-    for hops in range(1, steps + 1):
+    begin = staged(given.unionByName(called).groupBy(*key, "variable").agg(F.min("line_no").alias("at"), F.min(F.lit(0)).alias("hops"), F.max("cleaned").alias("cleaned")), "taint-begin")
+    known, frontier, hops = begin, begin, 0
+    while True:
+        hops += 1
         later = frontier.drop("cleaned").join(reads.where("target is not null").withColumnRenamed("cleaned", "now"), [*key, "variable"]).where("line_no > at and target != variable")
         reached = later.groupBy(*key, F.col("target").alias("variable")).agg(F.min("line_no").alias("at"), F.min(F.lit(hops)).alias("hops"), F.max("now").alias("cleaned"))
-        frontier = staged(reached.join(known.select(*key, "variable"), [*key, "variable"], "left_anti"), "taint-step")
+        earliest = known.groupBy(*key, "variable").agg(F.min("at").alias("first"))
+        frontier = staged(reached.join(earliest, [*key, "variable"], "left").where("first is null or at < first").drop("first"), "taint-step")
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if hops % 4 == 0:
+            known = staged(known, "taint-known")
     hits = known.join(reads.where("sink").drop("cleaned", "target"), [*key, "variable"]).where("line_no > at or hops = 0 and line_no >= at")
-    return hits.select(*key, F.col("line_no").alias("sink_line"), "variable", "hops", "cleaned").distinct()
+    # A variable with an earlier line after more steps has a row for each; a sink counts its fewest steps.
+    nearest = hits.groupBy(*key, F.col("line_no").alias("sink_line"), "variable").agg(F.min(F.struct("hops", "cleaned")).alias("n"))
+    return nearest.select(*key, "sink_line", "variable", "n.hops", "n.cleaned")

@@ -171,6 +171,12 @@ def test_taint(spark):
     assert got == {("load", 4, "full", 2, False), ("safe", 13, "b", 1, True)}
 
 
+def test_taint_over_many_assignments_and_earlier_lines(spark):
+    code = "def f(a):\n    b = a\n    x = b\n    exec(x)\n    x = a\n    c = x\n    d = c\n    e = d\n    g = e\n    h = g\n    open(h)\n    eval(x)"
+    got = {(r.sink_line, r.variable, r.hops) for r in taint.flows(_sources(spark, [("a.py", code)])).collect()}
+    assert got == {(4, "x", 2), (11, "h", 6), (12, "x", 1)}
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("R", "S1", "error", "m", "p", 0, None), ("R", "S0", "note", None, "p", 5, 2)] + [("Q", "S1", "error", "m", f"p{i:02}", i, i) for i in range(25)], "repository_id string, rule_id string, level string, message string, path string, start_line int, end_line int")
     texts = {r.repository_id: json.loads(r.sarif) for r in reports.sarif(rows, "repository_id").collect()}
