@@ -211,7 +211,7 @@ def mutual_packages(spark: SparkSession, d: str) -> DataFrame:
 @query("reachable_packages", f"""with recursive e as materialized (select * from {_PACKAGES}), r(src, dst, hops) as (select src, dst, 1 from e union
   select r.src, e.dst, r.hops + 1 from r join e on e.src = r.dst where r.hops < 3 and r.src != e.dst) select src, dst, min(hops) as hops from r group by all""")
 def reachable_packages(spark: SparkSession, d: str) -> DataFrame:
-    return matching.reachable(_package_edges(spark, d), 3)
+    return matching.reachable(_package_edges(spark, d))
 
 
 _OLD, _NEW = "(select * from baseline_entries where batch_no < 6)", "(select * from baseline_entries where batch_no >= 6)"

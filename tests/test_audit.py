@@ -186,6 +186,15 @@ def test_reports(spark):
     assert capped["Q"].omitted == 5 and capped["Q"].report.count("\n") == 19 and capped["R"].omitted == 0
 
 
+def test_reachable_packages_over_five_steps(spark, tmp_path):
+    from auditlake.plans import audit
+
+    texts = [(i, "R", f"A{i}.java", f"package p{i};\nimport p{i + 1}.A{i + 1};\npublic class A{i} {{}}\n") for i in range(7)]
+    spark.createDataFrame(texts, "source_id long, repository_id string, file_path string, raw_source string").write.parquet(str(tmp_path / "sources.parquet"))
+    got = {(r.dst, r.hops) for r in audit.reachable_packages(spark, str(tmp_path)).where("src = 'p0'").collect()}
+    assert got == {("p1", 1), ("p2", 2), ("p3", 3), ("p4", 4), ("p5", 5)}
+
+
 def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "t/src").mkdir(parents=True)
     (tmp_path / "t/node_modules").mkdir()
