@@ -25,8 +25,8 @@ from auditlake.storage import spread
 LEVELS = 4
 #: Labelled documents on which the models are fitted at most.
 SAMPLE = 4000
-#: Words of prose of the shortest paragraph; no single plain sentence is as long.
-LEAST_WORDS = 42
+#: Words of prose of the shortest paragraph of several sentences, and of one without ends of sentences; no single plain sentence is as long.
+LEAST_WORDS, LEAST_UNCUT = 30, 42
 
 FENCED = re.compile(r"```[\s\S]*?(?:```|\Z)")
 STAMPED = re.compile(
@@ -196,7 +196,7 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lev
 def difficulty(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_sentences, n_words, p1..p4, reading_level) of each document with at least a paragraph of prose.
 
-    Null, blank and prose-free texts and less than LEAST_WORDS words of prose, as in single sentences, give no row. Levels of
+    Null, blank and prose-free texts, less than LEAST_WORDS words of prose and single sentences give no row. Levels of
     readers outside 1 to 4 are left out; without any label there is no model, and so no row. A document posted again
     is rated again.
     """
@@ -212,7 +212,7 @@ def difficulty(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = sentences(text)
                 n = sum(map(len, found))
-                if n >= LEAST_WORDS and rater.levels:
+                if n >= (LEAST_WORDS if len(found) > 1 else LEAST_UNCUT) and rater.levels:
                     p = rater.document(found)
                     rows.append((doc, len(found), n, *map(float, p), int(p.argmax()) + 1))
             columns = list(zip(*rows)) if rows else [[] for _ in names]

@@ -113,6 +113,15 @@ def test_reading_levels(spark):
     assert R.difficulty(df.limit(0), lb).count() == 0 and R.difficulty(df, lb.limit(0)).count() == 0
 
 
+def test_short_paragraphs_have_a_level_and_single_sentences_none(spark):
+    def plain(n):
+        return " ".join(["every", "one", "of", "them", "reads", "the", "plain", "notes"] * 9).split()[:n]
+
+    docs = [(1, " ".join(plain(16)) + ". " + " ".join(plain(16)) + ".", "k"), (2, " ".join(plain(32)) + ".", "k"), (3, " ".join(plain(12)) + ". " + " ".join(plain(12)) + ".", "k")]
+    rated = R.difficulty(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([(1, "r", 2)], "doc_id long, reader string, reading_level int"))
+    assert [r.doc_id for r in rated.collect()] == [1]
+
+
 def test_sentences_leave_out_what_is_no_prose():
     text = "[SEC-001-FAIL-OPEN] FooBar:\n\nThe first one is here (see Foo.bar()). It works well today!\njava.lang.IllegalStateException: no entry found\n\tat org.a.B.c(D.java:7)\ndef f(x):\n    return x\n"
     assert R.sentences(text) == [["the", "first", "one", "is", "here"], ["it", "works", "well", "today"]]
