@@ -114,7 +114,7 @@ def _reportable(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sarif_export")
 def sarif_export(spark: SparkSession, d: str) -> DataFrame:
-    """A SARIF text for each repository and file, so that no text grows beyond a file's findings."""
+    """SARIF texts for each repository and file, in parts of bounded size."""
     return reports.sarif(_reportable(spark, d), "repository_id", "path")
 
 

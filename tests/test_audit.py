@@ -186,6 +186,16 @@ def test_reports(spark):
     assert capped["Q"].omitted == 5 and capped["Q"].report.count("\n") == 19 and capped["R"].omitted == 0
 
 
+def test_sarif_parts_are_bounded_and_whole(spark):
+    many = [("R", None if i % 2 else "p", "S1", "error", "m" * 100, "p", i, i) for i in range(400)]
+    rows = spark.createDataFrame([*many, ("Q", "p", "S1", "error", "m", "p", 1, 1)], "repository_id string, file string, rule_id string, level string, message string, path string, start_line int, end_line int")
+    parts = reports.sarif(rows, "repository_id", "file", part_chars=10_000).collect()
+    lines = [[x["locations"][0]["physicalLocation"]["region"]["startLine"] for x in json.loads(r.sarif)["runs"][0]["results"]] for r in parts]
+    assert len(parts) > 10 and max(map(len, lines)) <= 40 and all(x == sorted(x) for x in lines) and len({(r.repository_id, r.file, r.part) for r in parts}) == len(parts)
+    assert sorted(x for x in sum(lines, [])) == sorted([1, 1, *range(1, 400)])
+    assert [r.part for r in parts if r.repository_id == "Q"] == [0]
+
+
 def test_reachable_packages_over_five_steps(spark, tmp_path):
     from auditlake.plans import audit
 
