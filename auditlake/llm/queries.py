@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, handwritten, packing, reading, syntax, tokens
+from auditlake.llm import copies, credentials, handwritten, packing, reading, repeats, syntax, tokens
 from auditlake.storage import staged, table
 
 
@@ -21,6 +21,10 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("files"), F.avg("mean_line").alias("mean_line"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeats(table(spark, d, "baseline_entries")).select("first_entry_id", "entry_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid(table(spark, d, "sources"))
 
@@ -29,6 +33,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "sources"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "baseline_raw"))
+
+
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    return copies.kept(table(spark, d, "baseline_raw"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.lines(table(spark, d, "sources"), table(spark, d, "observations"))
 
@@ -63,9 +75,20 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(reading.difficulty(documents, table(spark, d, "reading_labels")), documents)
 
 
+_BARE = r"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_FIELDS = f"""list_sort(list_transform(json_keys(fields_json), lambda k:
+  {_BARE.format(x="k")} || chr(3) || coalesce({_BARE.format(x="json_extract_string(fields_json, '$.' || json_quote(k)::varchar)")}, chr(4))))"""
+_CANON = f"""with c as (select record_id, min(record_id) over w first_record_id, count(*) over w copies from (
+  select record_id, {_BARE.format(x="fingerprint")} f, {_BARE.format(x="snippet")} s, {_FIELDS} j from baseline_raw)
+  window w as (partition by f, s, j))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_kept": p4_kept, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_profile": p8_profile}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"{_CANON} select first_record_id, record_id from c where first_record_id < record_id",
+        "p4_kept": f"{_CANON} select record_id, copies from c where first_record_id = record_id",
+    }
