@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.plans import audit, history, review, structure
+from auditlake.plans import audit, review, structure
 
-MODULES = (history, audit, review, structure)
+MODULES = (audit, review, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

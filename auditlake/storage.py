@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or, where unset (tests), an own one."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine (tests) gets an own temporary one; on a cluster that is an error, as
+    no folder of one machine is shared.
+    """
+    context = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="spark-auditlake-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    held = context._jsc.sc().getCheckpointDir()
+    if conf or held.isDefined():
+        return (conf or held.get()).rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-auditlake-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
