@@ -40,11 +40,16 @@ class _State:
 
 
 class BpeTransducer:
-    """Encodes texts; holds at most max_states determinised states and max_words whole-word edges, and starts anew beyond."""
+    """Encodes texts; holds at most max_states determinised states and whole-word edges of max_chars characters, and starts anew beyond.
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_words: int = 400_000):
+    Words of more than LONG characters, which seldom come again, are not kept.
+    """
+
+    LONG = 64
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_chars: int = 8_000_000):
         self.ranks = ranks
-        self.max_states, self.max_words = max_states, max_words
+        self.max_states, self.max_chars = max_states, max_chars
         self.pieces = {rank: token for token, rank in ranks.items()}
         self._plant()
         self.made_of: dict[int, tuple[int, int]] = {}
@@ -74,6 +79,7 @@ class BpeTransducer:
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.start = _State(-1, (((), 0),), ())
 
     def halves(self, token: int) -> tuple[int, int]:
@@ -154,7 +160,7 @@ class BpeTransducer:
 
     def _new(self, word: str) -> tuple[int, ...]:
         """The ids of a pre-token not met before."""
-        if len(self.states) > self.max_states or len(self.words) > self.max_words:
+        if len(self.states) > self.max_states or self.held > self.max_chars:
             self._reset()
         state, out = self.start, []
         for byte in word.encode("utf-8"):
@@ -163,7 +169,10 @@ class BpeTransducer:
             if move[1]:
                 out.extend(move[1])
         out.extend(state.end)
-        self.words[word] = ids = tuple(out)
+        ids = tuple(out)
+        if len(word) <= self.LONG:
+            self.words[word] = ids
+            self.held += len(word)
         return ids
 
     def split(self, text: str) -> list[str]:

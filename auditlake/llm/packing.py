@@ -6,11 +6,12 @@ them. Items then find their place by their rank among the items of their length.
 
 Plan, per kind of container (exact-complement hashing): take the longest length left, add the longest that fits while
 the gap is beyond three items, and look the gap up among the single lengths, the sums of pairs and the sums of
-triples. A combination that fills the container exactly is used as often as the counts of its lengths allow. Lengths
-that find no exact complement go, longest first, to the container with the smallest gap that holds them.
+triples, which are all indexed. A combination that fills the container exactly is used as often as the counts of its
+lengths allow. Lengths for which no filling is found, also not with each other length in second place, go, longest
+first, to the container with the smallest gap that holds them.
 
 Ranks come from counts per (length, salt) and a row number inside each, so that a length held by a third of all items
-is numbered by many tasks. Places are joined by blocks of ranks, so no join key holds more than a block.
+is numbered by many tasks; there is a salt for so many items. Places are joined by blocks of ranks, so no join key holds more than a block.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ from pyspark.sql import functions as F
 
 from auditlake.storage import staged
 
-SALTS = 64
+#: Salts at least, and items for one; ranks of a block; used up lengths and failed searches after which sums are indexed anew.
+SALTS, SALTED = 64, 500_000
 BLOCK = 64
+REINDEX, STALE = 512, 32
 
 
 class _Lengths:
-    """Counts of the lengths still to be placed, with bit sets of the single lengths and of the sums of pairs."""
+    """Counts of the lengths still to be placed, with bit sets of the single lengths and of the sums of pairs and triples.
+
+    Lengths that are used up leave the sets of pairs and triples only when these are made anew, so a sum that is not in
+    a set does not exist; one that is in it is looked for among the counts.
+    """
 
     def __init__(self, capacity: int, counts: dict[int, int]):
         self.capacity = capacity
@@ -40,13 +47,17 @@ class _Lengths:
         self.singles = 0
         for size in np.flatnonzero(self.left):
             self.singles |= 1 << int(size)
-        self._index_pairs()
+        self._index()
 
-    def _index_pairs(self) -> None:
-        self.pairs, self.changed, mask = 0, 0, (1 << (self.capacity + 1)) - 1
-        for size in np.flatnonzero(self.left):
-            self.pairs |= self.singles << int(size)
+    def _index(self) -> None:
+        self.pairs, self.triples, self.changed, mask = 0, 0, 0, (1 << (self.capacity + 1)) - 1
+        sizes = [int(size) for size in np.flatnonzero(self.left)]
+        for size in sizes:
+            self.pairs |= self.singles << size
         self.pairs &= mask
+        for size in sizes:
+            self.triples |= self.pairs << size
+        self.triples &= mask
 
     def take(self, used: Counter, times: int) -> None:
         for size, n in used.items():
@@ -54,18 +65,20 @@ class _Lengths:
             if not self.left[size]:
                 self.singles &= ~(1 << size)
                 self.changed += 1
-        if self.changed > 512:
-            self._index_pairs()
+        if self.changed > REINDEX:
+            self._index()
 
-    def largest(self, most: int, used: Counter) -> int:
-        """The longest length of at most `most` of which one is left; 0 if there is none."""
-        bits = self.singles & ((1 << (most + 1)) - 1)
+    def descending(self, most: int) -> Iterator[int]:
+        """The lengths left of at most `most`, longest first."""
+        bits = self.singles & ((1 << (most + 1)) - 1) if most > 0 else 0
         while bits:
             size = bits.bit_length() - 1
-            if self.left[size] > used[size]:
-                return size
+            yield size
             bits ^= 1 << size
-        return 0
+
+    def largest(self, most: int, used: Counter) -> int:
+        """The longest length of at most `most` of which one is left; 0 if there is none."""
+        return next((size for size in self.descending(most) if self.left[size] > used[size]), 0)
 
     def _pair(self, gap: int, used: Counter) -> tuple[int, ...]:
         half = gap // 2
@@ -77,23 +90,51 @@ class _Lengths:
                 return a, gap - a
         return ()
 
-    def complement(self, gap: int, used: Counter, tries: int = 32) -> tuple[int, ...]:
-        """Up to three lengths that fill the gap exactly; () if none is found."""
+    def complement(self, gap: int, used: Counter) -> tuple[int, ...]:
+        """Up to three lengths that fill the gap exactly; () if there are none."""
         if self.left[gap] > used[gap]:
             return (gap,)
         if self.pairs >> gap & 1 and (two := self._pair(gap, used)):
             return two
-        size = self.largest(gap - 2, used)
-        while size and tries:
-            if self.pairs >> (gap - size) & 1:
-                tries -= 1
+        if not self.triples >> gap & 1:
+            return ()
+        failed = 0
+        for size in self.descending(gap - 2):
+            if self.pairs >> (gap - size) & 1 and self.left[size] > used[size]:
                 more = used.copy()
                 more[size] += 1
                 if two := self._pair(gap - size, more):
                     return (size, *two)
-            size = self.largest(size - 1, used)
+                failed += 1
+                if failed == STALE and self.changed:  # sums of used up lengths
+                    self._index()
         return ()
 
+    def filling(self, first: int) -> Counter:
+        """Lengths that with `first` fill a container exactly; empty if none are found.
+
+        The longest lengths that fit are added while the gap is beyond three of them, with its complement looked up at
+        every step; where that way ends with a gap, each length left is tried in second place with a complement of its own.
+        """
+        used, gap = Counter((first,)), self.capacity - first
+        while gap:
+            size = self.largest(gap, used)
+            if not size:
+                break
+            if gap <= 3 * size and (more := self.complement(gap, used)):
+                return used + Counter(more)
+            used[size] += 1
+            gap -= size
+        if not gap:
+            return used
+        gap = self.capacity - first
+        sums = self.singles | self.pairs | self.triples
+        for size in self.descending(gap - 1):
+            used = Counter((first, size))
+            if sums >> (gap - size) & 1 and self.left[size] >= used[size] and (more := self.complement(gap - size, used)):
+                return used + Counter(more)
+        return Counter()
+
 
 def plan(capacity: int, counts: dict[int, int]) -> list[tuple[list[int], int]]:
     """Combinations of lengths (1 to capacity) and how many containers repeat each; all items are placed."""
@@ -101,24 +142,14 @@ def plan(capacity: int, counts: dict[int, int]) -> list[tuple[list[int], int]]:
     plans: list[tuple[list[int], int]] = []
     rest: Counter = Counter()
     while first := lengths.largest(capacity, Counter()):
-        used, gap = Counter((first,)), capacity - first
-        while gap:
-            reach = 3 * lengths.largest(gap, used)
-            if not reach:
-                break
-            if gap <= reach and (more := lengths.complement(gap, used)):
-                used.update(more)
-                gap = 0
-            else:
-                used[reach // 3] += 1
-                gap -= reach // 3
-        if gap:
-            rest[first] += int(lengths.left[first])
-            lengths.take(Counter((first,)), int(lengths.left[first]))
-        else:
+        used = lengths.filling(first)
+        if used:
             times = min(int(lengths.left[s]) // n for s, n in used.items())
             plans.append((list(used.elements()), times))
             lengths.take(used, times)
+        else:
+            rest[first] += int(lengths.left[first])
+            lengths.take(Counter((first,)), int(lengths.left[first]))
     return plans + _best_fit(capacity, rest)
 
 
@@ -174,8 +205,9 @@ def packed(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", size: str =
     where there are none, into one empty container. Ties and repeated rows are items like any other.
     """
     kinds = limits.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    salts = max(SALTS, sizes.count() // SALTED)
     items = sizes.select(F.col(key).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     )
     each = items.withColumn("kind", F.explode(_kind_list(kinds))).select(
         "doc_id", "n", "salt", "kind.*", F.floor(F.col("n") / F.col("kind.capacity")).cast("long").alias("whole"), (F.col("n") % F.col("kind.capacity")).alias("size")

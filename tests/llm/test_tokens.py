@@ -2,6 +2,7 @@ import base64
 import os
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -51,7 +52,7 @@ def test_ids_equal_the_library(machine, library):
 
 def test_bounded_states_change_nothing(library):
     with open(PATH, "rb") as file:
-        small = BpeTransducer(read_ranks(file.read()), max_states=50, max_words=20)
+        small = BpeTransducer(read_ranks(file.read()), max_states=50, max_chars=60)
     for text in _random(300):
         assert small.encode(text) == library.encode_ordinary(text)
     assert len(small.words) <= 22
@@ -137,3 +138,31 @@ def test_plan_uses_counts_exactly():
         assert used == Counter(counts)
     assert [(sorted(i), t) for i, t in P.plan(10, {6: 5, 4: 5})] == [([4, 6], 5)]
     assert P.plan(10, {}) == []
+
+
+def test_exact_complements_are_found_however_late_they_come():
+    draw = random.Random(3)
+    for _ in range(60):
+        counts = Counter(draw.choices(range(1, 400), k=draw.randint(3, 25)))
+        lengths = P._Lengths(400, counts)
+        for gap in range(3, 400, 7):
+            found = lengths.complement(gap, Counter())
+            items = sorted(counts.elements())
+            exists = counts[gap] or any(a + b == gap for a, b in combinations(items, 2)) or any(sum(c) == gap for c in combinations(items, 3))
+            assert bool(found) == bool(exists) and (not found or sum(found) == gap and not Counter(found) - counts)
+    # The longest length ends with a gap on the greedy way, but not with another in second place.
+    filled = P._Lengths(100, {60: 1, 39: 1, 21: 1, 19: 1}).filling(60)
+    assert filled == P.Counter((60, 21, 19))
+    placed = P.plan(100, {60: 3, 39: 5, 21: 3, 19: 3})
+    assert sum(n for items, n in placed if sum(items) == 100) == 3
+
+
+def test_long_words_are_not_kept():
+    with open(PATH, "rb") as file:
+        machine = BpeTransducer(read_ranks(file.read()), max_chars=40)
+    long = "ab" * 4000
+    first = machine.encode(f"{long} some words here {long}")
+    assert not any(len(w) > machine.LONG for w in machine.words)
+    for text in ("other words", "more and more of them", f"{long} some words here {long}"):
+        found = machine.encode(text)
+    assert found == first and machine.held <= 40 + machine.LONG
