@@ -4,7 +4,8 @@ Prose is cut into sentences, without code, logs, tables, identifiers and heading
 over the levels from a word model and a character model of each level: the share of a word in a level's sentences,
 mixed with the probability that a smoothed chain of three characters of that level gives it, which speaks for unknown
 words. A document's distribution is the mean of its sentences', by words, and is calibrated on labelled documents that
-the models had not seen. Both models are fitted on a bounded sample of the labelled documents.
+the models had not seen. How much the models are smoothed is chosen by documents held out. Both models are fitted on a
+bounded sample of the labelled documents.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ LEVELS = 4
 SAMPLE = 4000
 #: Words of prose of the shortest paragraph of several sentences, and of one without ends of sentences; no single plain sentence is as long.
 LEAST_WORDS, LEAST_UNCUT = 30, 42
+#: Weights of characters against words, and sharpness of a sentence's distribution, among which held out documents choose;
+#: how many of them in each half do, and documents, and a share of them for the shift, by which calibration is held near none: readers who are off by one level
+#: shift the outer levels inwards.
+GRID = tuple((mixed, sharp) for mixed in (0.15, 0.05, 0.4) for sharp in (0.6, 0.3, 0.15))
+SELECTING, PRIOR, SHIFTED = 300, 10, 0.3
 
 FENCED = re.compile(r"```[\s\S]*?(?:```|\Z)")
 STAMPED = re.compile(
@@ -35,14 +41,21 @@ STAMPED = re.compile(
 THROWN = re.compile(r"(?:[\w$]+\.)+\w*(?:Exception|EXCEPTION|Error|ERROR)\b:?[ ]?(?:[a-z' ]+|[A-Z' ]+(?=\s|$))?|\b[aA][tT] (?:[\w$]+\.)+[\w$<>]+\([^)\n]*\)")
 TABLED = re.compile(r"\|[^\n]*\|")
 NAMED = re.compile(r"\(see [^)\n]*\(\)\)|(?:: |, as in |\bsee )[A-Za-z]\w*[.#]\w+(?:\(\))?", re.I)
-CODE_LINE = re.compile(r"[{};]\s*$|^\s*(?:def|class|return|import|from|for|if|while|const|let|var|public|private|function)\b[^.!?]*[({:=]|\w\(.*\)\s*[:;{]?\s*$|^\s*[\w.\[\]]+\s*[-+*]?=[^=]")
+CODE_START = re.compile(r"\s*(?:def|class|return|import|from|for|if|while|const|let|var|public|private|function)\b[^.!?]*[({:=]|\s*[\w.\[\]]+\s*[-+*]?=[^=]")
+CODE_CALL = re.compile(r"\w\(.*\)\s*:?$")
 HEADING = re.compile(r"^[ \t]*#+ [^\n]{0,80}$|^[ \t]*\[[A-Z]+-\d[^\]\n]*\][^\n]{0,60}$", re.M)
 RULE = re.compile(r"\[?\b[A-Z]+-\d{3}(?:-[A-Z]+)*\]?\s*(?:/\s*)?(?:[A-Z]\w*[a-z][A-Z]\w*:?)?")
 SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 ODD = re.compile(r"[#_\\/(){}\[\]=<>|`@$%^~\d]|\w\.\w|[a-zß-ÿ][A-Z]")
-#: Longest line that can be code or a heading.
-SHORT_LINE = 160
+
+def is_code(line: str) -> bool:
+    """Whether a line, of any length, begins or ends as a line of code does."""
+    end = line.rstrip()[-1:]
+    if end and end in "{};" or CODE_START.match(line):
+        return True
+    return end in (")", ":") and "(" in line and bool(CODE_CALL.search(line.rstrip()))
+
 
 _tokens: dict[str, tuple[str, ...]] = {}
 
@@ -71,7 +84,7 @@ def sentences(text: str) -> list[list[str]]:
         text = RULE.sub(" ", text)
     if "(" in text or ": " in text or "#" in text:
         text = NAMED.sub(" ", text)
-    lines = [line for line in text.split("\n") if len(line) > SHORT_LINE or not CODE_LINE.search(line)]
+    lines = [line for line in text.split("\n") if not is_code(line)]
     known, out = _tokens, []
     for sentence in SENTENCE.split("\n".join(lines).replace("\n\n", ". \n").replace("\n", " ")):
         parts = sentence.split()
@@ -86,21 +99,34 @@ def sentences(text: str) -> list[list[str]]:
 class LevelModel:
     """Word and character models by level and the calibration of a document's distribution."""
 
-    def __init__(self, documents: list[tuple[list[list[str]], float]], order: int = 3, mixed: float = 0.15, sharp: float = 0.6):
-        """documents: sentences and the mean label of each."""
-        self.order, self.mixed, self.sharp = order, mixed, sharp
+    def __init__(self, documents: list[tuple[list[list[str]], float]], order: int = 3):
+        """documents: sentences and the mean label of each.
+
+        The weight of characters against words and the sharpness are those of GRID that make the labels of documents
+        held out most likely; so is the calibration, which is held near none by PRIOR documents.
+        """
+        self.order = order
+        self.mixed, self.sharp = GRID[0]
         rounded = [(s, min(LEVELS, max(1, int(level + 0.5)))) for s, level in documents if s]
         random.Random(0).shuffle(rounded)
         self.levels = sorted({level for _, level in rounded})
+        likely: dict[tuple[float, float], float] = defaultdict(float)
+        for fold in (0, 1):
+            self._count(rounded[1 - fold :: 2])
+            for setting in GRID:
+                if setting[0] != self.mixed:
+                    self.known.clear()
+                self.mixed, self.sharp = setting
+                likely[setting] += sum(math.log(self._share(s)[level - 1] + 1e-4) for s, level in rounded[fold::2][:SELECTING])
+        self.mixed, self.sharp = max(GRID, key=lambda setting: likely[setting])
+        shares, truth = [], []
+        for fold in (0, 1):
+            self._count(rounded[1 - fold :: 2])
+            for s, level in rounded[fold::2]:
+                shares.append(np.log(self._share(s) + 1e-4))
+                truth.append(level - 1)
         self.scale, self.shift = 1.0, np.zeros(LEVELS)
-        if len(rounded) >= 10:
-            shares, truth = [], []
-            for fold in (0, 1):
-                self._count([d for i, d in enumerate(rounded) if i % 2 != fold])
-                for s, level in rounded[fold::2]:
-                    shares.append(np.log(self._share(s) + 1e-4))
-                    truth.append(level - 1)
-            self._calibrate(np.array(shares), np.array(truth))
+        self._calibrate(np.array(shares).reshape(-1, LEVELS), np.array(truth, int))
         self._count(rounded)
 
     def _count(self, documents: list[tuple[list[list[str]], int]]) -> None:
@@ -161,14 +187,15 @@ class LevelModel:
 
     def _calibrate(self, logs: np.ndarray, truth: np.ndarray, rounds: int = 200) -> None:
         """Scale and shift of log shares that make the softmax most likely, held near one and none."""
-        hot = np.eye(LEVELS)[truth]
+        hot, n = np.eye(LEVELS)[truth], len(truth) + PRIOR
+        pull = PRIOR + SHIFTED * len(truth)
         for _ in range(rounds):
             z = self.scale * logs + self.shift
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             g = p - hot
-            self.shift -= 0.5 * (g.mean(0) + 0.1 * self.shift)
-            self.scale = max(0.5, self.scale - 0.1 * float((g * logs).sum(1).mean() + 0.02 * (self.scale - 1)))
+            self.shift -= 0.5 * (g.sum(0) + pull * self.shift) / n
+            self.scale = max(0.1, self.scale - 0.1 * (float((g * logs).sum()) + PRIOR * (self.scale - 1)) / n)
 
     def document(self, found: list[list[str]]) -> np.ndarray:
         """The calibrated probabilities of the levels for a document's sentences."""
@@ -182,15 +209,16 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lev
     mean = labels.where("reading_level between 1 and 4").groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     drawn = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample is bounded by the parameter, so this side is too.
-    rows = documents.where("length(text) > 0").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy("doc_id")
+    rows = documents.where("length(text) > 0").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[" ".join(s) for s in sentences(t)] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["sentences", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1), batch.column(2)], ["sentences", "level", "doc_id"])
 
-    cutrows = rows.select("text", "level").mapInArrow(cut, "sentences array<string>, level double").collect()
-    return LevelModel([([s.split() for s in r.sentences], r.level) for r in cutrows])
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    cutrows = rows.select("text", "level", "doc_id").mapInArrow(cut, f"sentences array<string>, level double, doc_id {kind}").collect()
+    return LevelModel([([s.split() for s in r.sentences], r.level) for r in sorted(cutrows, key=lambda r: (r.doc_id, r.sentences))])
 
 
 def difficulty(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

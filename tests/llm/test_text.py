@@ -1,4 +1,8 @@
 import random
+import time
+
+import numpy as np
+import pytest
 
 from auditlake.llm import credentials as K
 from auditlake.llm import handwritten as H
@@ -76,9 +80,42 @@ def test_credentials(spark):
     assert empty.count() == 0
 
 
-def test_too_little_to_train_on_leaves_the_patterns():
-    scorer = K.Scorer([("literal", "password", "Amber1988", "a.py", 1)])
-    assert scorer.probability("literal", "db_password", "Amber1988", "") == 1.0 and scorer.probability("literal", "topic", "a.b.c", "") == 0.0
+def test_too_little_to_train_on_leaves_the_known_weights():
+    """The regression scores at every size: one row moves the weights a little, a thousand as far as they say."""
+    rows = [("literal", "db_password", "Amber1988", ""), ("literal", "topic", "a.b.c", ""), ("url", "connection password", "gentle-lease", "")]
+    for n in (0, 1, 40):
+        p = K.Scorer([("literal", "password", "Amber1988", "a.py", 1), ("literal", "topic", "x.y.z", "a.py", 0)] * n).probabilities(rows)
+        assert p[0] > 0.5 > p[1] and p[2] > 0.5
+    assert len(K.Scorer([]).probabilities([])) == 0
+
+
+def test_evidence_has_none_of_the_labelling_patterns_and_every_word_and_path_part():
+    chains = (K.Markov([]), K.Markov([]))
+    one = K.Evidence([("literal", "a_b_c_d_e_f_g_password", "Amber1988", "a/b/c/d/e/f/secret.py")], chains)
+    assert K._slot("w:password") in one.slots and K._slot("d:a") in one.slots and K._slot("d:secret") in one.slots
+    assert one.gradient(np.ones(1)) @ np.arange(K.DENSE + K.HASHED) == pytest.approx(one.scores(np.arange(K.DENSE + K.HASHED))[0])
+
+
+def test_candidates_stand_behind_any_length_of_line_and_may_be_short():
+    def found(text):
+        return {(c[0], c[2]) for c in K.candidates(text)}
+
+    for n in (10, 159, 161, 239, 241, 5_000):
+        filler = "x" * n
+        assert ("login", "TotalSignal2025") in found(f'connect("{filler}", "svc", "TotalSignal2025");')
+        assert [c[1] for c in K.candidates(f'{filler}_password = "ab12x"')] == [f"{filler}_password"]
+        assert [c[1] for c in K.candidates("call(" + filler + ') ; password: Map<String> = "ab12x"')] == ["password"]
+    assert found('password = "ab12x"') == {("literal", "ab12x")} and found('topic = "ab12x"') == set()
+    assert found('connect(\n"svc", "ab12xab12xab")') == {("literal", "ab12xab12xab")}  # the call began in another line
+    assert [c[1] for c in K.candidates("x = env.get('DB_PASS') || 'ab12x'")] == ["DB_PASS"]
+    one_line = 'f(a,"b"),' * 60_000 + 'g({password:"Zx12ab"})'
+    began = time.perf_counter()
+    assert ("literal", "Zx12ab") in found(one_line) and time.perf_counter() - began < 20
+
+
+def test_line_numbers():
+    places = K.Places("a\r\nb\n\nc")
+    assert [places.line(i) for i in range(7)] == [0, 0, 0, 1, 1, 2, 3]
 
 
 WORDS = {1: "the box cat runs home and we like it", 2: "people often describe the useful setting before a meeting starts", 3: "the schema lock must escape the stale cache line under load", 4: "whereupon the axiom vitiates a contingent lattice insofar as it subsumes"}
@@ -122,6 +159,24 @@ def test_short_paragraphs_have_a_level_and_single_sentences_none(spark):
     assert [r.doc_id for r in rated.collect()] == [1]
 
 
+def test_code_is_told_by_its_begin_and_end_however_long_the_line(spark):
+    for n in (5, 39, 400):
+        words = " ".join(["plain", "words"] * n)
+        assert R.sentences(f"{words};") == [] and R.sentences(f"return run({words}") == [] and R.sentences(f"{words} f(x)") == []
+        assert len(R.sentences(f"{words}.")) == 1
+
+
+def test_few_labelled_documents_are_calibrated_too():
+    r = random.Random(2)
+    for n in (0, 1, 3, 9, 10, 11, 60):
+        docs = [(R.sentences(_document(i % 4 + 1, 6, r)), i % 4 + 1.0) for i in range(n)]
+        model = R.LevelModel(docs)
+        assert (model.mixed, model.sharp) in R.GRID and model.scale > 0
+        if n:
+            p = model.document(docs[0][0])
+            assert abs(p.sum() - 1) < 1e-9
+
+
 def test_sentences_leave_out_what_is_no_prose():
     text = "[SEC-001-FAIL-OPEN] FooBar:\n\nThe first one is here (see Foo.bar()). It works well today!\njava.lang.IllegalStateException: no entry found\n\tat org.a.B.c(D.java:7)\ndef f(x):\n    return x\n"
     assert R.sentences(text) == [["the", "first", "one", "is", "here"], ["it", "works", "well", "today"]]
