@@ -32,6 +32,30 @@ def test_kinds(spark):
     assert H.not_handwritten(src.limit(0), repos).count() == 0
 
 
+def test_periods_of_any_length():
+    for period in (1, 2, 11, 12, 13, 14, 40, 111):
+        block = [b"w" * (j % 7) + b"(" * (j % 5) + b"0" * (j % 3) for j in range(period)]
+        share, repeats = H.repetition(block * 6)
+        assert share == 1.0 and repeats >= 6, period
+        assert H.repetition([b"import w", *block * 6, b"}"])[0] > 0.8 or period == 1
+    r = random.Random(4)
+    assert H.repetition([r.choice("abcdefgh").encode() * r.randint(1, 9) for _ in range(400)])[0] < 0.3
+
+
+def test_share_of_copied_text_counts_short_lines_by_their_length(spark):
+    short = "\n".join(f"a{i}=b{i}" for i in range(30))
+    rows = [(1, "R1", "a/x.js", short), (2, "R2", "b/x.js", short), (3, "R3", "b/x.js", "}\n" + "own_line_of_this_file(1)\n" * 1), (4, "R1", "y.js", short), (5, None, "x.js", short), (6, "R2", None, short), (2, "R2", "b/x.js", short)]
+    src = spark.createDataFrame(rows, "source_id long, repository_id string, file_path string, raw_source string")
+    assert {r.source_id: round(r.copied, 6) for r in H.copied_share(H.measured(src)).collect()} == {1: 1.0, 2: 1.0, 5: 1.0}
+
+
+def test_layout_tells_data_by_letters_and_digits(spark):
+    blob = "x = [\n" + "".join(f"{'QWERTYuiop1234567890' * 2}\n" for _ in range(60)) + "]\n"
+    src = spark.createDataFrame([(1, "R1", "a.ts", blob), (2, "R1", "a.py", HAND)], "source_id long, repository_id string, file_path string, raw_source string")
+    repos = spark.createDataFrame([("R1", "acme/one")], "repository_id string, repo_name string")
+    assert {(r.source_id, r.kind, r.by_layout) for r in H.kinds(src, repos).collect()} == {(1, "data", True), (2, "handwritten", False)}
+
+
 def test_statistics_of_odd_texts():
     for text in ("x", "\n\n", "é字" * 10, "a" * 200_000, "\r\n".join(["x = 1"] * 9)):
         found = H.statistics(text)
