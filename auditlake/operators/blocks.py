@@ -135,16 +135,17 @@ def cases(text: str, lang: str) -> set[tuple[int, str, float]]:
     return {(text.count("\n", 0, at) + 1, key, confidence) for at, key, confidence in found}
 
 
-def block_findings(known: DataFrame) -> DataFrame:
-    """(source_id, line_no, rule_key, confidence) of known: (source_id, raw_source, language)."""
+def block_findings(known: DataFrame, *keep: str) -> DataFrame:
+    """keep, (source_id, line_no, rule_key, confidence) of known: (source_id, keep, raw_source, language)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *c) for i, text, lang in zip(*(c.to_pylist() for c in batch.columns)) for c in sorted(cases(text, lang))]
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source_id", "line_no", "rule_key", "confidence"])
-
-    kind = known.schema["source_id"].dataType.simpleString()
-    rows = known.where("language in ('JAVA', 'KOTLIN', 'PYTHON', 'JAVASCRIPT', 'TYPESCRIPT')").where(F.col("raw_source").rlike(WORDS)).select("source_id", "raw_source", "language")
-    return spread(rows).mapInArrow(check, f"source_id {kind}, line_no int, rule_key string, confidence double")
+            found = [(i, *c) for i, (text, lang) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-2:]))) for c in sorted(cases(text, lang))]
+            at, *columns = zip(*found) if found else [[]] * 4
+            kinds = [pa.int32(), pa.string(), pa.float64()]
+            held = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-2]]
+            yield pa.RecordBatch.from_arrays(held + [pa.array(c, k) for c, k in zip(columns, kinds)], [*batch.schema.names[:-2], "line_no", "rule_key", "confidence"])
+
+    rows = known.where("language in ('JAVA', 'KOTLIN', 'PYTHON', 'JAVASCRIPT', 'TYPESCRIPT')").where(F.col("raw_source").rlike(WORDS)).select("source_id", *keep, "raw_source", "language")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return spread(rows).mapInArrow(check, f"{kinds}, line_no int, rule_key string, confidence double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +54,28 @@ LINE_RULES = (
 
 #: Rows of LINE_RULES whose condition needs more than the line: blocks.py has them.
 IN_BLOCKS = (("SEC-001", "KOTLIN"), ("SEC-001", "PYTHON"), ("SEC-002", "JAVA"), ("SEC-003", "JAVA,KOTLIN"))
-#: All rules that one line decides: those of LINE_RULES, which the SQL reads, and more.
+#: All rules that one line decides. Of several patterns a line must hold each; a last one is what its file must hold.
 RULES = tuple(r for r in LINE_RULES if r[:2] not in IN_BLOCKS) + (
     ("SEC-004", "KOTLIN", r"\.exec\(.*Runtime|Runtime.*\.exec\(", "", "", 0.96),
-    ("SEC-005", "KOTLIN", r"^(?=.*(?:rawQuery|execSQL|prepareStatement|createQuery)\().*[$+]", "", "", 0.97),
-    ("SEC-005", "KOTLIN", r"^(?=.*(?:sql =|query =|val sql|val query))(?=.*(?i:select |insert |update |delete )).*[$+]", "", "", 0.97),
-    ("SEC-006", "KOTLIN", r"^(?=.*(?:File\(|FileInputStream\(|Path\.of\()).*[$+]", "", r"\.normalize\(\)|\.canonicalFile", 0.95),
-    ("SEC-012", "KOTLIN", r"^(?=.*URL\().*\.(?:openConnection|readText|openStream)\(\)", "", "allowlist|whitelist", 0.95),
-    ("SEC-019", "KOTLIN", r"Random\(\)|java\.util\.Random|kotlin\.random\.Random", "", r"(?is)\A(?!.*(?:token|secret|password))", 0.94),
-    ("SEC-005", "JAVASCRIPT,TYPESCRIPT", r"^(?=.*(?:\.query\(|db\.execute\()).*(?:\$\{|\+)", "", "", 0.98),
-    ("SEC-013", "JAVASCRIPT,TYPESCRIPT", r"^(?=.*jwt\.verify\().*(?:algorithms: \[(?:'none'|\"none\")\]|algorithm: 'none')", "", "", 0.99),
-    ("SEC-018", "JAVASCRIPT,TYPESCRIPT", r"crypto\.createCipher(?:iv)?\(\s*['\"]des[^'\"]*['\"]", "", "", 0.99),
+    ("SEC-005", "KOTLIN", (r"(rawQuery|execSQL|prepareStatement|createQuery)\(", r"[$+]"), "", "", 0.97),
+    ("SEC-005", "KOTLIN", (r"sql =|query =|val sql|val query", r"(?i)(select |insert |update |delete )", r"[$+]"), "", "", 0.97),
+    ("SEC-006", "KOTLIN", (r"File\(|FileInputStream\(|Path\.of\(", r"[$+]"), "", r"\.normalize\(\)|\.canonicalFile", 0.95),
+    ("SEC-012", "KOTLIN", (r"URL\(", r"\.(openConnection|readText|openStream)\(\)"), "", "allowlist|whitelist", 0.95),
+    ("SEC-019", "KOTLIN", r"Random\(\)|java\.util\.Random|kotlin\.random\.Random", "", "", 0.94, "(?i)token|secret|password"),
+    ("SEC-005", "JAVASCRIPT,TYPESCRIPT", (r"\.query\(|db\.execute\(", r"\$\{|\+"), "", "", 0.98),
+    ("SEC-013", "JAVASCRIPT,TYPESCRIPT", (r"jwt\.verify\(", r"algorithms: \[('none'|\"none\")\]|algorithm: 'none'"), "", "", 0.99),
+    ("SEC-018", "JAVASCRIPT,TYPESCRIPT", r"crypto\.createCipher(iv)?\(\s*['\"]des[^'\"]*['\"]", "", "", 0.99),
 )
+#: By rule and a language: texts in lower case of which a file that breaks the rule holds one; cheaper to see than patterns.
+HINTS = {
+    ("SEC-002", "PYTHON"): ("open",), ("SEC-004", "JAVA"): ("getruntime", "processbuilder"), ("SEC-004", "PYTHON"): ("os.", "subprocess."), ("SEC-004", "JAVASCRIPT"): ("exec", "eval"),
+    ("SEC-004", "KOTLIN"): ("runtime",), ("SEC-005", "JAVA"): ("select", "insert", "update", "delete"), ("SEC-005", "PYTHON"): ("execute",), ("SEC-005", "JAVASCRIPT"): ("select", "insert", "update", "delete", ".query(", "db.execute("),
+    ("SEC-005", "KOTLIN"): ("rawquery(", "execsql(", "preparestatement(", "createquery(", "select ", "insert ", "update ", "delete "), ("SEC-006", "JAVA"): ("new file(", "paths.get("), ("SEC-006", "PYTHON"): ("open",),
+    ("SEC-006", "KOTLIN"): ("file(", "fileinputstream(", "path.of("), ("SEC-007", "JAVA"): (".readobject", ".readunshared"), ("SEC-007", "PYTHON"): ("pickle.", "yaml."), ("SEC-009", "JAVA"): ("csrf",), ("SEC-009", "PYTHON"): ("@csrf_exempt",),
+    ("SEC-010", "JAVA"): ("@crossorigin", "allowedorigins("), ("SEC-010", "PYTHON"): ("cors(",), ("SEC-012", "JAVASCRIPT"): ("fetch", "axios.get", "http.get"), ("SEC-012", "PYTHON"): ("requests.",), ("SEC-012", "KOTLIN"): ("url(",),
+    ("SEC-013", "JAVASCRIPT"): ("jwt.verify(",), ("SEC-018", "PYTHON"): ("hashlib.",), ("SEC-018", "JAVA"): ("getinstance(",), ("SEC-018", "JAVASCRIPT"): ("createhash(", "createcipher"), ("SEC-019", "JAVASCRIPT"): ("math.random()",),
+    ("SEC-019", "KOTLIN"): ("random",), ("SEC-020", "JAVASCRIPT"): ("innerhtml", "document.write(", "dangerouslysetinnerhtml"), ("ARCH-003", "JAVA"): ("system.", "math.random()", "new random("),
+}
 
 #: A function's head by language, with its name as a group.
 FUNCTION = (
@@ -96,27 +109,50 @@ def secret_findings(sources: DataFrame) -> DataFrame:
     )
 
 
-def line_findings(sources: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(source_id, line_no, rule_key, confidence): all rules that a line breaks, once, with the highest confidence.
+def _known(sources: DataFrame, *keep: str) -> DataFrame:
+    """Files of known languages with text."""
+    return sources.select("source_id", *keep, "raw_source", C.language_of(F.col("file_path")).alias("language")).where("language is not null and raw_source is not null")
+
+
+def rule_lines(sources: DataFrame, *keep: str, rules: tuple = RULES) -> DataFrame:
+    """keep, (source_id, line_no, rule_key, confidence): all rules that a line breaks by itself, once, with the highest confidence.
 
-    One pass over the lines, and one over the files for rules that need more than the line. A rule of a language the
-    file is not in, with a pattern the line must not hold, or taken back by its file, does not fire. Files of unknown
-    languages and null texts give no rows.
+    One pass over the lines. A rule of a language the file is not in, with a pattern the line must not hold, or taken
+    back by its file, does not fire; its patterns are looked for only in files that hold one of its hints. Files of
+    unknown languages and null texts give no rows; a source_id that comes twice is reported twice.
     """
-    lang, text, line = F.col("language"), F.col("raw_source"), F.col("line")
-    checked, taken = [], {}
-    for i, (key, langs, must, must_not, file_not, confidence) in enumerate(rules):
-        fires = lang.isin(langs.split(",")) & line.rlike(must)
+    lang, text, line, low = F.col("language"), F.col("raw_source"), F.col("line"), F.lower("raw_source")
+    fires: dict[tuple[str, float], Column] = {}
+    flags = {}
+    for i, (key, langs, must, must_not, file_not, confidence, *file_must) in enumerate(rules):
+        hints = HINTS.get((key, langs.split(",")[0]), ("",))
+        may = lang.isin(langs.split(",")) & reduce(or_, [low.contains(h) for h in hints])
+        for pattern in file_must:
+            may &= text.rlike(pattern)
+        flags[f"t{i}"] = may & ~text.rlike(file_not) if file_not else may
+        broken = F.col(f"t{i}")
+        for pattern in (must,) if isinstance(must, str) else must:
+            broken &= line.rlike(pattern)
         if must_not:
-            fires &= ~line.rlike(must_not)
-        if file_not:
-            taken[f"t{i}"] = text.rlike(file_not)
-            fires &= ~F.col(f"t{i}")
-        checked.append(F.when(fires, F.struct(F.lit(key).alias("rule_key"), F.lit(confidence).alias("confidence"))))
-    known = sources.select("source_id", "raw_source", C.language_of(F.col("file_path")).alias("language")).where("language is not null and raw_source is not null")
-    each = C.lines(spread(known).withColumns(taken), "source_id", "language", *taken)
-    single = each.select("source_id", "line_no", F.explode(F.filter(F.array(*checked), lambda x: x.isNotNull())).alias("f")).select("source_id", "line_no", "f.*")
-    return single.unionByName(block_findings(known)).groupBy("source_id", "line_no", "rule_key").agg(F.max("confidence").alias("confidence"))
+            broken &= ~line.rlike(must_not)
+        fires[key, confidence] = fires[key, confidence] | broken if (key, confidence) in fires else broken
+    each = C.lines(spread(_known(sources, *keep)).withColumns(flags), "source_id", *keep, "language", *flags)
+    # Of a rule's confidences the highest that applies; so no line has a rule twice.
+    checked = []
+    for key in dict.fromkeys(k for k, _ in fires):
+        found = F.lit(None).cast("double")
+        for confidence in sorted(c for k, c in fires if k == key):
+            found = F.when(fires[key, confidence], confidence).otherwise(found)
+        checked.append(F.struct(F.lit(key).alias("rule_key"), found.alias("confidence")))
+    some = each.select("source_id", *keep, "line_no", F.explode(F.filter(F.array(*checked), lambda x: x["confidence"].isNotNull())).alias("f"))
+    return some.select("source_id", *keep, "line_no", "f.*")
+
+
+def line_findings(sources: DataFrame, *keep: str) -> DataFrame:
+    """keep, (source_id, line_no, rule_key, confidence): rule_lines, and rules whose condition needs more than the line."""
+    blocks = block_findings(_known(sources, *keep), *keep)
+    both = rule_lines(sources, *keep).unionByName(blocks)
+    return both.groupBy("source_id", *keep, "line_no", "rule_key").agg(F.max("confidence").alias("confidence"))
 
 
 def is_head(line: Column) -> Column:

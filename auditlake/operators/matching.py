@@ -26,32 +26,55 @@ def baseline_exact(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.select("repository_id", usable(F.col("fingerprint")).alias("f"), "entry_id").join(first, ["repository_id", "f"]).select("entry_id", "baseline_id")
 
 
+def path_ends(path: Column) -> Column:
+    """The ends of a path that are paths themselves: the whole one first, the file name last."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def baseline_structural(new: DataFrame, old: DataFrame, window: int = 5) -> DataFrame:
-    """(entry_id, baseline_id): the smallest old entry of the same repository, rule and path by method or nearby line.
+    """(entry_id, baseline_id): the smallest old entry of the same repository and rule by path and method or nearby line.
 
-    Same method means the same non-blank method name; nearby at most `window` lines apart. Either way is an equi-join:
-    old entries are aggregated by method, and by line, each standing for the 2 * window + 1 lines around it, so no key
-    pairs all its rows with all others.
+    Paths are the same, without case, if they are equal or one ends with the other. Same method means the same non-blank
+    method name; nearby at most `window` lines apart. Every way is an equi-join: old entries are aggregated by path and
+    method, and by path and line, each standing for the 2 * window + 1 lines around it; the longer of two paths stands
+    for each of its ends. So no key pairs all its rows with all others.
     """
     key = ["repository_id", "rule", "path"]
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select("repository_id", F.lower(F.trim("rule_id")).alias("rule"), F.lower(C.normal_path(F.col("file_path"))).alias("path"), "entry_id", F.trim("method_name").alias("method"), "start_line").dropna(subset=key)
+        path = F.lower(C.normal_path(F.col("file_path")))
+        return df.select("repository_id", F.lower(F.trim("rule_id")).alias("rule"), path.alias("path"), "entry_id", F.trim("method_name").alias("method"), "start_line").dropna(subset=key).where("path != ''")
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.withColumn("path", F.explode(path_ends(F.col("path"))))
 
     a, b = keyed(new), keyed(old)
     by_method = b.where("method != ''").groupBy(*key, "method").agg(F.min("entry_id").alias("baseline_id"))
     near = b.where("start_line is not null").select(*key, "entry_id", F.explode(F.sequence(F.col("start_line") - window, F.col("start_line") + window)).alias("start_line"))
     by_line = near.groupBy(*key, "start_line").agg(F.min("entry_id").alias("baseline_id"))
-    hits = a.join(by_method, [*key, "method"]).select("entry_id", "baseline_id").unionByName(a.join(by_line, [*key, "start_line"]).select("entry_id", "baseline_id"))
+    hits = None
+    for table, of in ((by_method, "method"), (by_line, "start_line")):
+        # The new path ends with the old one (or is it); the old one ends with the new one: its ends are aggregated again.
+        longer = ends(table).groupBy(*key, of).agg(F.min("baseline_id").alias("baseline_id"))
+        for left, right in ((ends(a), table), (a, longer)):
+            found = left.join(right, [*key, of]).select("entry_id", "baseline_id")
+            hits = found if hits is None else hits.unionByName(found)
     return hits.groupBy("entry_id").agg(F.min("baseline_id").alias("baseline_id"))
 
 
-def dispositions(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(entry_id, disposition, baseline_id): EXACT before STRUCTURAL before NEW."""
-    exact = baseline_exact(new, old).withColumnRenamed("baseline_id", "exact_id")
-    near = baseline_structural(new, old).withColumnRenamed("baseline_id", "near_id")
-    joined = new.select("entry_id").join(exact, "entry_id", "left").join(near, "entry_id", "left")
-    what = F.when(F.col("exact_id").isNotNull(), "EXACT").when(F.col("near_id").isNotNull(), "STRUCTURAL").otherwise("NEW")
+def dispositions(new: DataFrame, old: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(entry_id, disposition, baseline_id): BLOCKED before EXACT before STRUCTURAL before NEW.
+
+    Entries of blocked rules (keys, any case) never consult the baseline.
+    """
+    stopped = F.upper(C.rule_key(F.col("rule_id"))).isin([b.upper() for b in blocked]) if blocked else F.lit(False)
+    rows = new.withColumn("blocked", F.coalesce(stopped, F.lit(False)))
+    asking = rows.where("not blocked").drop("blocked")
+    exact = baseline_exact(asking, old).withColumnRenamed("baseline_id", "exact_id")
+    near = baseline_structural(asking, old).withColumnRenamed("baseline_id", "near_id")
+    joined = rows.select("entry_id", "blocked").join(exact, "entry_id", "left").join(near, "entry_id", "left")
+    what = F.when(F.col("blocked"), "BLOCKED").when(F.col("exact_id").isNotNull(), "EXACT").when(F.col("near_id").isNotNull(), "STRUCTURAL").otherwise("NEW")
     return joined.select("entry_id", what.alias("disposition"), F.coalesce("exact_id", "near_id").alias("baseline_id"))
 
 

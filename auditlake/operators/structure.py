@@ -63,13 +63,15 @@ def exposed_types(sources: DataFrame) -> DataFrame:
 def consumers(sources: DataFrame) -> DataFrame:
     """(source_id, consumer_id): for each file the first other file of its repository that names its primary class.
 
-    The words of all files are reduced to the two smallest files of each (repository, word), one of which is another.
+    Words that are no class of the repository are left out first, so that words that all files hold, but for classes,
+    never meet. The others are reduced to the two smallest files of each (repository, word), one of which is another.
     """
-    words = sources.where("raw_source is not null").select("source_id", "repository_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_source", F.lit(TYPE), F.lit(0)))).alias("word"))
+    own = findings.headers(sources).where("primary_class != 'UnknownClass'").select("source_id", "repository_id", F.col("primary_class").alias("word"))
+    every = sources.where("raw_source is not null").select("source_id", "repository_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_source", F.lit(TYPE), F.lit(0)))).alias("word"))
+    words = every.join(own.select("repository_id", "word").distinct(), ["repository_id", "word"], "left_semi")
     first = words.groupBy("repository_id", "word").agg(F.min("source_id").alias("a"))
     later = words.join(first, ["repository_id", "word"]).where("source_id != a").groupBy("repository_id", "word").agg(F.min("source_id").alias("b"))
     two = first.join(later, ["repository_id", "word"], "left")
-    own = findings.headers(sources).where("primary_class != 'UnknownClass'").select("source_id", "repository_id", F.col("primary_class").alias("word"))
     return own.join(two, ["repository_id", "word"]).select("source_id", F.when(F.col("a") != F.col("source_id"), F.col("a")).otherwise(F.col("b")).alias("consumer_id")).where("consumer_id is not null")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import catalog
 from auditlake.functions import columns as C
-from auditlake.operators import findings, ledger, matching, scoring
-from auditlake.storage import table
+from auditlake.operators import findings, ledger, matching, scoring, suppressions
+from auditlake.storage import staged, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,28 +119,44 @@ def masked_snippets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "observations").groupBy("observation_id").agg(F.max(C.masked(F.col("finding_snippet"))).alias("masked"))
 
 
-def _rule_sql(i: int, rule: tuple) -> str:
-    key, langs, must, must_not, file_not, confidence = rule
+def _rule_sql(rule: tuple) -> str:
+    key, langs, must, must_not, file_not, confidence, *file_must = rule
     langs = ", ".join(f"'{x}'" for x in langs.split(","))
-    more = (f" and not regexp_matches(line, {_quoted(must_not)})" if must_not else "") + (f" and not regexp_matches(raw_source, {_quoted(file_not)})" if file_not else "")
-    return f"select source_id, line_no, '{key}' as rule_key, cast({confidence} as double) as confidence from ls where language in ({langs}) and regexp_matches(line, {_quoted(must)}){more}"
+    tests = [f"regexp_matches(line, {_quoted(p)})" for p in ((must,) if isinstance(must, str) else must)] + [f"regexp_matches(raw_source, {_quoted(p)})" for p in file_must]
+    tests += [f"not regexp_matches(line, {_quoted(must_not)})"] * bool(must_not) + [f"not regexp_matches(raw_source, {_quoted(file_not)})"] * bool(file_not)
+    return f"select source_id, line_no, '{key}' as rule_key, cast({confidence} as double) as confidence from ls where language in ({langs}) and {' and '.join(tests)}"
 
 
 _RULE_LINES = f"""with ls as materialized (select source_id, raw_source, {_LANG} as language, line_no, line from {_lines("source_id", "file_path", "raw_source")})
-  select distinct * from ({" union all ".join(_rule_sql(i, r) for i, r in enumerate(findings.LINE_RULES))})"""
+  select source_id, line_no, rule_key, max(confidence) as confidence from ({" union all ".join(map(_rule_sql, findings.RULES))}) group by all"""
 
 
-@query("line_findings", _RULE_LINES)
+@query("rule_lines", _RULE_LINES)
+def rule_lines(spark: SparkSession, d: str) -> DataFrame:
+    return findings.rule_lines(table(spark, d, "sources"))
+
+
+@query("line_findings")
 def line_findings(spark: SparkSession, d: str) -> DataFrame:
+    """rule_lines and the rules over several lines, which SQL does not say; tested on texts of their own."""
     return findings.line_findings(table(spark, d, "sources"))
 
 
-@query("findings_by_repository", f"""select s.repository_id, f.rule_key, r.severity, count(*) as findings, count(distinct f.source_id) as files from ({_RULE_LINES}) f join sources s using (source_id)
+def _by_repository(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    ruled = rows.join(F.broadcast(catalog.rules(spark)), "rule_key")
+    return ruled.groupBy("repository_id", "rule_key", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("source_id").alias("files"))
+
+
+@query("rule_lines_by_repository", f"""select s.repository_id, f.rule_key, r.severity, count(*) as findings, count(distinct f.source_id) as files from ({_RULE_LINES}) f join sources s using (source_id)
   join {catalog.rules_sql()} on r.rule_key = f.rule_key group by all""")
+def rule_lines_by_repository(spark: SparkSession, d: str) -> DataFrame:
+    return _by_repository(spark, findings.rule_lines(table(spark, d, "sources"), "repository_id"))
+
+
+@query("findings_by_repository")
 def findings_by_repository(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "sources")
-    rows = findings.line_findings(src).join(src.select("source_id", "repository_id"), "source_id").join(F.broadcast(catalog.rules(spark)), "rule_key")
-    return rows.groupBy("repository_id", "rule_key", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("source_id").alias("files"))
+    """Findings of all rules by repository, rule and severity; see line_findings."""
+    return _by_repository(spark, findings.line_findings(table(spark, d, "sources"), "repository_id"))
 
 
 _NAME = "case when contains(line, '(') then coalesce(" + ", ".join(f"nullif(regexp_extract(line, {_quoted(findings.FUNCTION)}, {i}), '')" for i in range(1, 6)) + ") end"
@@ -166,7 +182,63 @@ MARKER = "(?i)edit freely|keep for now|see ticket|by hand"
   select f.source_id, f.line_no, f.rule_key, min(m.line_no) as suppressed_by from f left join m on m.source_id = f.source_id and m.line_no between f.line_no - 1 and f.line_no + 1 group by all""")
 def suppress_window(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "sources")
-    return findings.suppressed(findings.line_findings(src).drop("confidence"), src, MARKER)
+    return findings.suppressed(findings.rule_lines(src).drop("confidence"), src, MARKER)
+
+
+#: Findings of less confidence count as guesses: a setting.
+LEAST_CONFIDENCE = 0.95
+
+
+def _finding_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the rules over lines against annotations, directives, ignore rules, earlier inspections and the baseline.
+
+    Each entry of the first batch stands for an ignore rule (its path and rule). A line that an earlier inspection of the
+    file had as well is no change. Accepted are findings of a rule and file with an entry of a later batch at most five
+    lines away.
+    """
+    src = table(spark, d, "sources")
+    rows = findings.rule_lines(src.where("repository_id is not null"), "repository_id", "file_path").withColumnsRenamed({"rule_key": "rule", "file_path": "path"})
+    found = staged(rows, "findings")
+    plain = found.drop("repository_id", "path")
+    entries = table(spark, d, "baseline_entries").select("repository_id", "batch_no", C.normal_path(F.col("file_path")).alias("path"), C.rule_key(F.col("rule_id")).alias("rule"), "start_line")
+    ignored = entries.where("batch_no = 0").select("path", "rule")
+    accepted = entries.where("batch_no > 0").select("repository_id", "rule", F.lower(C.file_of(F.col("path"))).alias("file"), F.explode(F.sequence(F.col("start_line") - 5, F.col("start_line") + 5)).alias("line_no")).distinct()
+    known = found.withColumn("file", F.lower(C.file_of(F.col("path")))).join(accepted, ["repository_id", "rule", "file", "line_no"], "left_semi")
+    hits = {
+        "ANNOTATION": suppressions.by_annotation(plain, src), "INLINE_COMMENT": suppressions.by_directive(plain, src), "IGNORE_FILE": suppressions.by_ignore_rule(found.drop("repository_id"), ignored),
+        "DIFF_BASELINE": _unchanged(src, plain), "BASELINE_ACCEPTED": known,
+    }
+    return suppressions.dispositions(plain, hits, LEAST_CONFIDENCE)
+
+
+def _unchanged(src: DataFrame, found: DataFrame) -> DataFrame:
+    """Findings on lines that the inspection of the file before held as well."""
+    order = Window.partitionBy("repository_id", F.lower(C.normal_path(F.col("file_path")))).orderBy("inspected_at", "source_id")
+    pairs = src.where("raw_source is not null").select("source_id", F.lag("source_id").over(order).alias("before_id")).where("before_id is not null")
+    mine = found.join(pairs, "source_id")
+    now = C.lines(src.join(mine.select("source_id").distinct(), "source_id", "left_semi"), "source_id").select("source_id", "line_no", F.xxhash64("line").alias("h"))
+    before = C.lines(src.join(mine.select(F.col("before_id").alias("source_id")).distinct(), "source_id", "left_semi"), "source_id").select(F.col("source_id").alias("before_id"), F.xxhash64("line").alias("h")).distinct()
+    return mine.join(now, ["source_id", "line_no"]).join(before, ["before_id", "h"], "left_semi").select("source_id", "line_no", "rule")
+
+
+_TOKENS = f"lower(replace(t, '{suppressions.WORD}:', '')) in ('all', '*', lower(rule))"
+_DIRECTIVE = rf"(?i)(//|#|/\*+)\s*{suppressions.WORD}-ignore\s+([A-Za-z0-9_:*-]+)"
+
+
+@query("dispositions_all", rf"""with f as materialized (select f.*, f.rule_key as rule, s.repository_id, {_path("s.file_path")} as path from ({_RULE_LINES}) f join sources s using (source_id) where s.repository_id is not null),
+  l as materialized (select * from {_lines("source_id")}), e as materialized (select repository_id, batch_no, {_path("file_path")} as path, {_KEY} as rule, start_line from baseline_entries),
+  g as (select distinct source_id, line_no, unnest(regexp_extract_all(line, '"([^"]*)"', 1)) as t from l where contains(line, '@SuppressWarnings')),
+  i as (select distinct source_id, line_no, regexp_extract(line, '{_DIRECTIVE}', 2) as t from l where regexp_matches(line, '{_DIRECTIVE}')),
+  v as (select source_id, lag(source_id) over (partition by repository_id, lower({_path("file_path")}) order by inspected_at, source_id) as before_id from sources where raw_source is not null)
+  select source_id, line_no, rule, confidence, case when confidence < {LEAST_CONFIDENCE} then 'LOW_CONFIDENCE_HEURISTIC'
+    when exists (select 1 from g where g.source_id = f.source_id and g.line_no < f.line_no and {_TOKENS}) then 'ANNOTATION'
+    when exists (select 1 from i where i.source_id = f.source_id and abs(i.line_no - f.line_no) <= 1 and {_TOKENS}) then 'INLINE_COMMENT'
+    when exists (select 1 from e where e.batch_no = 0 and e.rule = f.rule and e.path != '' and (lower(f.path) = lower(e.path) or ends_with(lower(f.path), '/' || lower(e.path)))) then 'IGNORE_FILE'
+    when exists (select 1 from v join l n on n.source_id = v.source_id join l o on o.source_id = v.before_id and o.line = n.line where v.source_id = f.source_id and n.line_no = f.line_no) then 'DIFF_BASELINE'
+    when exists (select 1 from e where e.batch_no > 0 and e.repository_id = f.repository_id and e.rule = f.rule and lower(regexp_extract(e.path, '([^/]*)$', 1)) = lower(regexp_extract(f.path, '([^/]*)$', 1)) and abs(e.start_line - f.line_no) <= 5) then 'BASELINE_ACCEPTED'
+    else 'ACTIVE' end as disposition from f""")
+def dispositions_all(spark: SparkSession, d: str) -> DataFrame:
+    return _finding_dispositions(spark, d)
 
 
 _HEAD_IMPORTS = r"""case when language in ('JAVA', 'KOTLIN') then regexp_extract_all(raw_source, '(?m)^import\s+(?:static\s+)?([\w.]+)', 1)
@@ -209,7 +281,7 @@ def mutual_packages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("reachable_packages", f"""with recursive e as materialized (select * from {_PACKAGES}), r(src, dst, hops) as (select src, dst, 1 from e union
-  select r.src, e.dst, r.hops + 1 from r join e on e.src = r.dst where r.hops < 3 and r.src != e.dst) select src, dst, min(hops) as hops from r group by all""")
+  select r.src, e.dst, r.hops + 1 from r join e on e.src = r.dst where r.hops < 5 and r.src != e.dst) select src, dst, min(hops) as hops from r group by all""")
 def reachable_packages(spark: SparkSession, d: str) -> DataFrame:
     return matching.reachable(_package_edges(spark, d))
 
@@ -218,7 +290,8 @@ _OLD, _NEW = "(select * from baseline_entries where batch_no < 6)", "(select * f
 _USABLE = "nullif(case when lower(trim(fingerprint)) in ('', 'n/a', 'pending', 'none', 'null') or regexp_matches(lower(trim(fingerprint)), '^0+$') then '' else lower(trim(fingerprint)) end, '')"
 _EXACT = f"""(select n.entry_id, min(o.entry_id) as baseline_id from (select *, {_USABLE} as f from {_NEW}) n join (select *, {_USABLE} as f from {_OLD}) o on o.repository_id = n.repository_id and o.f = n.f group by 1)"""
 _STRUCT = f"""(select n.entry_id, min(o.entry_id) as baseline_id from (select *, lower({_path("file_path")}) as p, lower(trim(rule_id)) as r from {_NEW}) n join (select *, lower({_path("file_path")}) as p, lower(trim(rule_id)) as r from {_OLD}) o
-  on o.repository_id = n.repository_id and o.p = n.p and o.r = n.r and ((trim(o.method_name) != '' and trim(o.method_name) = trim(n.method_name)) or abs(o.start_line - n.start_line) <= 5) group by 1)"""
+  on o.repository_id = n.repository_id and (o.p = n.p or o.p != '' and ends_with(n.p, '/' || o.p) or n.p != '' and ends_with(o.p, '/' || n.p)) and o.r = n.r and ((trim(o.method_name) != '' and trim(o.method_name) = trim(n.method_name)) or abs(o.start_line - n.start_line) <= 5)
+  where n.p != '' group by 1)"""
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -237,10 +310,15 @@ def baseline_structural(spark: SparkSession, d: str) -> DataFrame:
     return matching.baseline_structural(*_halves(spark, d))
 
 
-@query("baseline_dispositions", f"""select n.entry_id, case when e.baseline_id is not null then 'EXACT' when s.baseline_id is not null then 'STRUCTURAL' else 'NEW' end as disposition,
-  coalesce(e.baseline_id, s.baseline_id) as baseline_id from {_NEW} n left join {_EXACT} e using (entry_id) left join {_STRUCT} s using (entry_id)""")
+#: Rules that a policy lets no baseline accept: a setting.
+BLOCKED = ("SEC-004", "SEC-008")
+_STOPPED = f"upper({_KEY}) in ({', '.join(repr(b) for b in BLOCKED)})"
+
+
+@query("baseline_dispositions", f"""select n.entry_id, case when {_STOPPED} then 'BLOCKED' when e.baseline_id is not null then 'EXACT' when s.baseline_id is not null then 'STRUCTURAL' else 'NEW' end as disposition,
+  case when not {_STOPPED} then coalesce(e.baseline_id, s.baseline_id) end as baseline_id from {_NEW} n left join {_EXACT} e using (entry_id) left join {_STRUCT} s using (entry_id)""")
 def baseline_dispositions(spark: SparkSession, d: str) -> DataFrame:
-    return matching.dispositions(*_halves(spark, d))
+    return matching.dispositions(*_halves(spark, d), BLOCKED)
 
 
 _REGRESSION = f"""select upper(trim(rule_id)) as rule_id, count(*) as new_findings from {_NEW} n where not exists (select 1 from {_OLD} o where o.repository_id = n.repository_id and lower(trim(o.rule_id)) = lower(trim(n.rule_id))
@@ -378,12 +456,16 @@ def ledger_sign(spark: SparkSession, d: str) -> DataFrame:
     return ledger.first_deliveries(table(spark, d, "audit_ledger")).select("run_id", ledger.signature().alias("signature"))
 
 
-@query("ledger_verify", f"""select run_id, policy_status is null or policy_status != 'BREACHED' as ok from {_FIRST}""")
+@query("ledger_verify", f"""with k as (select run_id, sha256({_SIGNED}) as kept from {_FIRST}), a as (select run_id, received_at, sha256({_SIGNED}) as now,
+    sha256({_SIGNED.replace("coalesce(cast(total_findings as varchar), '')", "coalesce(cast(total_findings + case when blocked_findings > 0 then 1 else 0 end as varchar), '')")}) as changed from audit_ledger)
+  select run_id, count(*) as deliveries, count_if(now = kept) as sound, count_if(changed = kept) as sound_if_changed from a join k using (run_id) group by 1""")
 def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Runs against signatures taken before the breached ones were changed: exactly those fail."""
-    rows = ledger.first_deliveries(table(spark, d, "audit_ledger"))
-    changed = rows.withColumn("total_findings", F.when(F.col("policy_status") == "BREACHED", F.col("total_findings") + 1).otherwise(F.col("total_findings")))
-    return ledger.verified(changed, rows.select("run_id", F.upper(ledger.signature()).alias("signature")))
+    """Deliveries of each run whose fields give the signature of its first delivery, as they are and with a total altered where something was blocked."""
+    rows = table(spark, d, "audit_ledger")
+    kept = ledger.first_deliveries(rows).select("run_id", F.upper(ledger.signature()).alias("signature"))
+    altered = rows.withColumn("total_findings", F.col("total_findings") + F.when(F.col("blocked_findings") > 0, 1).otherwise(0))
+    found = ledger.verified(rows, kept).withColumn("as_is", F.lit(True)).unionByName(ledger.verified(altered, kept).withColumn("as_is", F.lit(False)))
+    return found.groupBy("run_id").agg(F.count_if("as_is").alias("deliveries"), F.count_if(F.col("as_is") & F.col("ok")).alias("sound"), F.count_if(~F.col("as_is") & F.col("ok")).alias("sound_if_changed"))
 
 
 _LOGGED = r"""case when regexp_matches(logged_text, '^\d{4}-\d\d-\d\dT') then epoch_us(try_cast(logged_text as timestamptz)) when regexp_matches(logged_text, '^\d+(\.\d+)?$') then cast(floor(try_cast(logged_text as decimal(20,9)) * 1000000) as bigint) end"""

@@ -87,6 +87,15 @@ def patch_diffs(spark: SparkSession, d: str) -> DataFrame:
     return diffs.generated(rows, "entry_id", "file_path", "snippet", "patched")
 
 
+@query("composed_patches")
+def composed_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the fixes of all their findings, and what became of them."""
+    src = table(spark, d, "sources")
+    lines = C.lines(src, "source_id").select("source_id", "line_no", F.trim("line").alias("snippet"))
+    found = findings.rule_lines(src).join(lines, ["source_id", "line_no"]).join(F.broadcast(catalog.rules(spark)), "rule_key", "left")
+    return patches.composed(src, found).select("source_id", "status", "applied", "skipped", F.sha2("patched", 256).alias("patched"))
+
+
 _STATEMENTS = rf"""(select source_id, function, line_no, (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) as head, case when not (contains(line, '(') and regexp_matches(line, {_quoted(findings.FUNCTION)})) then nullif(regexp_extract(line, {_quoted(taint.ASSIGNED)}, 1), '') end as target,
   regexp_extract_all(regexp_replace(regexp_extract(line, '\((.*)$', 1), {_quoted(taint.SCALAR)}, ' ', 'g'), {_quoted(taint.PARAMETER)}, 1) as params,
   list_distinct(regexp_extract_all(regexp_replace(case when regexp_extract(line, {_quoted(taint.ASSIGNED)}, 1) != '' then regexp_extract(line, {_quoted(taint.ASSIGNED)}, 2) else line end, '"[^"]*"|''[^'']*''', ' ', 'g'), {_quoted(taint.WORD)})) as words,
@@ -106,6 +115,12 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return taint.flows(table(spark, d, "sources"))
 
 
+@query("taint_across")
+def taint_across(spark: SparkSession, d: str) -> DataFrame:
+    """Sinks that values reach through calls of other functions."""
+    return taint.flows_across(table(spark, d, "sources"))
+
+
 def _reportable(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
     rows = table(spark, d, "baseline_entries").withColumn("rule_key", C.rule_key(F.col("rule_id"))).join(F.broadcast(catalog.rules(spark)), "rule_key", "left")

@@ -1,6 +1,6 @@
 from pathlib import Path
 
-from auditlake.operators import structure
+from auditlake.operators import structure, taint
 
 SOURCES = "source_id long, repository_id string, file_path string, raw_source string, name string"
 STORE = "package org.a.x;\npublic class ShelfStore {\n    @Cached\n    public Shelf findShelf(long id) {\n        return null;\n    }\n}\n"
@@ -46,3 +46,26 @@ def test_every_sql_has_its_query_and_every_name_is_its_own():
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) == sum(len(m.QUERIES) for m in catalog.MODULES)
+
+
+def test_taint_through_calls(spark):
+    rows = [
+        (1, "R", "a/Web.java", 'class Web {\n  public void handle(HttpServletRequest request) {\n    String name = request.getParameter("n");\n    String full = name + "x";\n    store.save(7, full);\n  }\n  private void own(String q) {\n    run(q);\n  }\n  private void run(String sql) {\n    db.executeQuery(sql);\n  }\n}\n'),
+        (2, "R", "a/Store.java", "class Store {\n  public void save(int id, String text) {\n    String part = text;\n    deeper(part);\n  }\n  private void deeper(String last) {\n    save(1, last);\n    db.execute(last);\n  }\n}\n"),
+        (3, "R", "a/Other.java", "class Other {\n  public void save(String only) {\n    db.execute(only);\n  }\n}\n"),
+        (4, "Q", "b/Store.java", "class Store {\n  public void save(int id, String text) {\n    db.execute(text);\n  }\n}\n"),
+        (5, "R", None, None),
+    ]
+    src = spark.createDataFrame(rows, "source_id long, repository_id string, file_path string, raw_source string")
+    found = {(r.source_id, r.function, r.variable, r.sink_source_id, r.sink_function, r.sink_line, r.calls) for r in taint.flows_across(src).collect()}
+    assert found == {
+        (1, "handle", "request", 2, "deeper", 8, 2), (1, "handle", "name", 2, "deeper", 8, 2), (1, "own", "q", 1, "run", 11, 1), (2, "save", "text", 2, "deeper", 8, 1),
+    }
+    assert taint.flows_across(src, depth=2).where("calls > 1").count() == 0
+    assert taint.flows_across(src.limit(0)).count() == 0
+
+
+def test_a_chain_of_calls_ends_at_the_depth(spark):
+    body = "".join(f"  private void f{i}(String a{i}) {{\n    f{i + 1}(a{i});\n  }}\n" for i in range(7)) + "  private void f7(String z) {\n    db.execute(z);\n  }\n"
+    src = spark.createDataFrame([(1, "R", "A.java", "class A {\n" + body + "}\n")], "source_id long, repository_id string, file_path string, raw_source string")
+    assert {(r.function, r.calls) for r in taint.flows_across(src).collect()} == {(f"f{i}", 7 - i) for i in range(3, 7)}
