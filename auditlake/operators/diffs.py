@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import columns as C
@@ -43,36 +40,44 @@ def touched(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def unified(path: str, old: str, new: str, context: int = 2) -> str:
-    """One hunk from the first to the last difference, with lines of context; empty if the texts agree."""
-    a, b = old.split("\n"), new.split("\n")
-    if a == b:
-        return ""
-    top = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
-    end = min(end, len(a) - top, len(b) - top)
-    first, after = max(0, top - context), min(context, end)
-    a_end, b_end = len(a) - end, len(b) - end
-    body = [" " + x for x in a[first:top]] + ["-" + x for x in a[top:a_end]] + ["+" + x for x in b[top:b_end]] + [" " + x for x in a[a_end : a_end + after]]
-    spans = f"@@ -{first + 1},{a_end + after - first} +{first + 1},{b_end + after - first} @@"
-    return "\n".join([f"--- a/{path}", f"+++ b/{path}", spans, *body])
-
-
-def applied(old: str, diff: str) -> str:
-    """The text that a diff of one hunk makes of an old text."""
-    if not diff:
-        return old
-    _, _, head, *body = diff.split("\n")
-    first = int(head.split()[1][1:].split(",")[0]) - 1
-    lines, out, at = old.split("\n"), [], first
-    for row in body:
-        if row[:1] in (" ", "-"):
-            if at >= len(lines) or lines[at] != row[1:]:
-                raise ValueError(f"line {at + 1} is another")
-            at += 1
-        if row[:1] in (" ", "+"):
-            out.append(row[1:])
-    return "\n".join(lines[:first] + out + lines[at:])
+def unified(path: Column, old: Column, new: Column, context: int = 2) -> Column:
+    """One hunk from the first to the last difference, with lines of context; empty if the texts agree. Nulls are empty texts."""
+    empty = F.lit("")
+    a, b = F.split(F.coalesce(old, empty), "\n"), F.split(F.coalesce(new, empty), "\n")
+
+    def alike(x: Column, y: Column) -> Column:
+        """How many lines agree from the begin."""
+        return F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False).cast("int") - 1
+
+    top = alike(a, b)
+    end = F.least(alike(F.reverse(a), F.reverse(b)), F.size(a) - top, F.size(b) - top)
+    first, after = F.greatest(top - context, F.lit(0)), F.least(F.lit(context), end)
+    old_end, new_end = F.size(a) - end, F.size(b) - end
+
+    def signed(sign: str, lines: Column, begin: Column, stop: Column) -> Column:
+        return F.transform(F.slice(lines, begin + 1, stop - begin), lambda x: F.concat(F.lit(sign), x))
+
+    body = F.concat(signed(" ", a, first, top), signed("-", a, top, old_end), signed("+", b, top, new_end), signed(" ", a, old_end, old_end + after))
+    at = (first + 1).cast("string")
+    spans = F.concat(F.lit("@@ -"), at, F.lit(","), (old_end + after - first).cast("string"), F.lit(" +"), at, F.lit(","), (new_end + after - first).cast("string"), F.lit(" @@"))
+    name = F.coalesce(path, empty)
+    whole = F.array_join(F.concat(F.array(F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), spans), body), "\n")
+    return F.when(F.coalesce(old, empty) == F.coalesce(new, empty), empty).otherwise(whole)
+
+
+def applied(old: Column, diff: Column) -> Column:
+    """The text that a diff of one hunk makes of an old text; null if the lines it takes are others. An empty diff changes nothing."""
+    text = F.coalesce(old, F.lit(""))
+    lines, rows = F.split(text, "\n"), F.split(diff, "\n")
+    body = F.slice(rows, 4, F.greatest(F.size(rows) - 3, F.lit(0)))
+    first = F.regexp_extract(F.element_at(rows, 3), HUNK, 1).cast("int") - 1
+    sign = lambda x: F.substring(x, 1, 1)
+    bare = lambda x: F.substring(x, 2, 1_000_000_000)
+    taken = F.transform(F.filter(body, lambda x: sign(x).isin(" ", "-")), bare)
+    given = F.transform(F.filter(body, lambda x: sign(x).isin(" ", "+")), bare)
+    rest = F.slice(lines, first + 1 + F.size(taken), F.greatest(F.size(lines) - first - F.size(taken), F.lit(0)))
+    fits = F.slice(lines, first + 1, F.size(taken)) == taken
+    return F.when(diff == "", text).when(fits, F.array_join(F.concat(F.slice(lines, F.lit(1), first), given, rest), "\n"))
 
 
 def generated(rows: DataFrame, key: str, path: str, old: str, new: str) -> DataFrame:
@@ -80,12 +85,5 @@ def generated(rows: DataFrame, key: str, path: str, old: str, new: str) -> DataF
 
     Null texts are empty; equal texts give an empty diff.
     """
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            diffs = [unified(p or "", a or "", b or "") for p, a, b in zip(frame["p"], frame["a"], frame["b"])]
-            good = [applied(a or "", x) == (b or "") for a, b, x in zip(frame["a"], frame["b"], diffs)]
-            yield pd.DataFrame({key: frame["k"], "diff": diffs, "applies": good})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(old).alias("a"), F.col(new).alias("b")).mapInPandas(make, f"`{key}` {kind}, diff string, applies boolean")
+    made = rows.select(F.col(key), unified(F.col(path), F.col(old), F.col(new)).alias("diff"), F.col(old).alias("_old"), F.coalesce(F.col(new), F.lit("")).alias("_new"))
+    return made.select(key, "diff", F.coalesce(applied(F.col("_old"), F.col("diff")) == F.col("_new"), F.lit(False)).alias("applies"))

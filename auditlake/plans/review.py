@@ -26,30 +26,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_DIFFS = r"(select source_id, unnest(range(1, len(a) + 1)) as pos, unnest(a) as line from (select source_id, regexp_split_to_array(raw_source, '\r?\n') as a from sources where regexp_matches(raw_source, '(?m)^@@ -\d+')))"
-_BODY = rf"""(select *, start + coalesce(sum(cast(sign in ('+', ' ') as int)) over (partition by source_id, hunk order by pos rows between unbounded preceding and 1 preceding), 0) as new_line
-  from (select *, case when substr(line, 1, 1) in ('+', '-', '\') then substr(line, 1, 1) else ' ' end as sign from (
-    select source_id, pos, line, regexp_matches(line, {_quoted(diffs.HUNK)}) as head, starts_with(line, '+++ ') or starts_with(line, '--- ') and coalesce(starts_with(lead(line) over w, '+++ '), false) as named,
-      last_value(case when starts_with(line, '+++ ') then regexp_extract(line, '^\+\+\+ (?:[ab]/)?([^\t]*)', 1) end ignore nulls) over u as target, sum(cast(regexp_matches(line, {_quoted(diffs.HUNK)}) as int)) over u as hunk,
-      last_value(case when regexp_matches(line, {_quoted(diffs.HUNK)}) then cast(regexp_extract(line, {_quoted(diffs.HUNK)}, 3) as int) end ignore nulls) over u as start
-    from {_DIFFS} window w as (partition by source_id order by pos), u as (partition by source_id order by pos rows unbounded preceding)) where hunk > 0 and not head and not named))"""
-
-
-def _diff_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sources").where(F.col("raw_source").rlike(r"(?m)^@@ -\d+"))
-    return diffs.diff_lines(rows, "source_id", "raw_source")
-
-
-@query("diff_line_numbers", f"select source_id, pos, target, cast(hunk as bigint) as hunk, sign, cast(new_line as int) as new_line from {_BODY}")
-def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _diff_lines(spark, d).select("source_id", "pos", "target", "hunk", "sign", "new_line")
-
-
-@query("diff_hunks", f"select source_id, target, cast(hunk as bigint) as hunk, cast(min(new_line) as int) as lo, cast(max(new_line) as int) as hi, count_if(sign = '+') as added, count_if(sign = '-') as removed from {_BODY} group by all")
-def diff_hunks(spark: SparkSession, d: str) -> DataFrame:
-    return diffs.touched(_diff_lines(spark, d), "source_id")
-
-
 def _fix_sql(at: str) -> str:
     def quoted(x: str) -> str:
         import re
@@ -80,13 +56,53 @@ def patch_funnel(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("rule_key", "stage").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("patch_diffs")
-def patch_diffs(spark: SparkSession, d: str) -> DataFrame:
-    """Unified diffs of the fixed snippets, each applied again."""
+_LIKE = "list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: {x} is not distinct from {y}), false)"
+_GENERATED = f"""(select entry_id, file_path, snippet, patched, '--- a/' || p || chr(10) || '+++ b/' || p || chr(10) || '@@ -' || (lo + 1) || ',' || (len(a) - tail + least(2, tail) - lo) || ' +' || (lo + 1) || ',' || (len(b) - tail + least(2, tail) - lo) || ' @@' || chr(10)
+    || array_to_string(list_transform(a[lo + 1:top], lambda x: ' ' || x) || list_transform(a[top + 1:len(a) - tail], lambda x: '-' || x) || list_transform(b[top + 1:len(b) - tail], lambda x: '+' || x)
+    || list_transform(a[len(a) - tail + 1:len(a) - tail + least(2, tail)], lambda x: ' ' || x), chr(10)) as diff
+  from (select *, greatest(top - 2, 0) as lo, least(same, len(a) - top, len(b) - top) as tail from (select *, coalesce(file_path, '') as p, {_LIKE.format(x="a[i]", y="b[i]")} - 1 as top,
+    {_LIKE.format(x="(case when i <= len(a) then a[len(a) + 1 - i] end)", y="(case when i <= len(b) then b[len(b) + 1 - i] end)")} - 1 as same
+    from (select *, string_split(snippet, chr(10)) as a, string_split(patched, chr(10)) as b from {_PATCHED} where patched != snippet))))"""
+
+
+def _patch_diffs(spark: SparkSession, d: str) -> DataFrame:
     rows = patches.patched(table(spark, d, "baseline_entries")).where("patched != snippet")
     return diffs.generated(rows, "entry_id", "file_path", "snippet", "patched")
 
 
+@query("patch_diffs", f"select entry_id, diff, true as applies from {_GENERATED}")
+def patch_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Unified diffs of the fixed snippets, each applied again."""
+    return _patch_diffs(spark, d)
+
+
+_DIFFS = rf"""(select source_id, unnest(range(1, len(a) + 1)) as pos, unnest(a) as line from (select source_id, regexp_split_to_array(t, '\r?\n') as a from (
+    select 'source ' || source_id as source_id, raw_source as t from sources where regexp_matches(raw_source, '(?m)^@@ -\d+') union all select 'patch ' || entry_id, diff from {_GENERATED})))"""
+_BODY = rf"""(select *, start + coalesce(sum(cast(sign in ('+', ' ') as int)) over (partition by source_id, hunk order by pos rows between unbounded preceding and 1 preceding), 0) as new_line
+  from (select *, case when substr(line, 1, 1) in ('+', '-', '\') then substr(line, 1, 1) else ' ' end as sign from (
+    select source_id, pos, line, regexp_matches(line, {_quoted(diffs.HUNK)}) as head, starts_with(line, '+++ ') or starts_with(line, '--- ') and coalesce(starts_with(lead(line) over w, '+++ '), false) as named,
+      last_value(case when starts_with(line, '+++ ') then regexp_extract(line, '^\+\+\+ (?:[ab]/)?([^\t]*)', 1) end ignore nulls) over u as target, sum(cast(regexp_matches(line, {_quoted(diffs.HUNK)}) as int)) over u as hunk,
+      last_value(case when regexp_matches(line, {_quoted(diffs.HUNK)}) then cast(regexp_extract(line, {_quoted(diffs.HUNK)}, 3) as int) end ignore nulls) over u as start
+    from {_DIFFS} window w as (partition by source_id order by pos), u as (partition by source_id order by pos rows unbounded preceding)) where hunk > 0 and not head and not named))"""
+
+
+def _diff_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the diffs of fixed snippets and of diffs saved as sources."""
+    saved = table(spark, d, "sources").where(F.col("raw_source").rlike(r"(?m)^@@ -\d+")).select(F.concat(F.lit("source "), "source_id").alias("diff_id"), F.col("raw_source").alias("diff"))
+    made = _patch_diffs(spark, d).select(F.concat(F.lit("patch "), "entry_id").alias("diff_id"), "diff")
+    return diffs.diff_lines(saved.unionByName(made), "diff_id", "diff")
+
+
+@query("diff_line_numbers", f"select source_id as diff_id, pos, target, cast(hunk as bigint) as hunk, sign, cast(new_line as int) as new_line from {_BODY}")
+def diff_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _diff_lines(spark, d).select("diff_id", "pos", "target", "hunk", "sign", "new_line")
+
+
+@query("diff_hunks", f"select source_id as diff_id, target, cast(hunk as bigint) as hunk, cast(min(new_line) as int) as lo, cast(max(new_line) as int) as hi, count_if(sign = '+') as added, count_if(sign = '-') as removed from {_BODY} group by all")
+def diff_hunks(spark: SparkSession, d: str) -> DataFrame:
+    return diffs.touched(_diff_lines(spark, d), "diff_id")
+
+
 @query("composed_patches")
 def composed_patches(spark: SparkSession, d: str) -> DataFrame:
     """Files with the fixes of all their findings, and what became of them."""

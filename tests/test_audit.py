@@ -149,10 +149,12 @@ def test_diffs(spark):
     assert [(r.target, r.hunk, r.sign, r.new_line) for r in rows.orderBy("pos").collect()] == [
         ("x.py", 1, " ", 2), ("x.py", 1, "-", 3), ("x.py", 1, "+", 3), ("x.py", 1, "+", 4), ("x.py", 1, "\\", 5), ("x.py", 2, "-", 10), ("x.py", 2, "+", 10), ("y", 3, "+", 1),
     ]
-    for old, new in (("a\nb\nc", "a\nX\nc"), ("", "a"), ("a", ""), ("a\nb", "a\nb"), ("a\na\na", "a\na"), ("x\ny", "x\nz\ny")):
-        assert diffs.applied(old, diffs.unified("f", old, new)) == new
-    with pytest.raises(ValueError):
-        diffs.applied("other", diffs.unified("f", "a", "b"))
+    pairs = [("a\nb\nc", "a\nX\nc"), ("", "a"), ("a", ""), ("a\nb", "a\nb"), ("a\na\na", "a\na"), ("x\ny", "x\nz\ny"), ("\n".join("abcdefghij"), "\n".join("abcdeXfghij")), ("a", "a\n"), (None, "q"), ("q", None)]
+    both = spark.createDataFrame(pairs, "old string, new string").withColumn("diff", diffs.unified(F.lit("f"), F.col("old"), F.col("new")))
+    assert both.where(~diffs.applied(F.col("old"), F.col("diff")).eqNullSafe(F.coalesce("new", F.lit("")))).count() == 0
+    assert both.where("old like 'a%j'").first()["diff"] == "--- a/f\n+++ b/f\n@@ -4,4 +4,5 @@\n d\n e\n+X\n f\n g"
+    other = spark.createDataFrame([("other",)], "old string").select(diffs.applied(F.col("old"), diffs.unified(F.lit("f"), F.lit("a"), F.lit("b"))).alias("x"))
+    assert other.first().x is None
     made = diffs.generated(spark.createDataFrame([(1, "p", None, "x"), (2, None, "y", "y")], "id long, p string, a string, b string"), "id", "p", "a", "b")
     assert [(r.applies, r["diff"] == "") for r in made.orderBy("id").collect()] == [(True, False), (True, True)]
 
