@@ -64,15 +64,20 @@ RULES = tuple(r for r in LINE_RULES if r[:2] not in IN_BLOCKS) + (
     ("SEC-019", "KOTLIN", r"Random\(\)|java\.util\.Random|kotlin\.random\.Random", "", "", 0.94, "(?i)token|secret|password"),
     ("SEC-005", "JAVASCRIPT,TYPESCRIPT", (r"\.query\(|db\.execute\(", r"\$\{|\+"), "", "", 0.98),
     ("SEC-013", "JAVASCRIPT,TYPESCRIPT", (r"jwt\.verify\(", r"algorithms: \[('none'|\"none\")\]|algorithm: 'none'"), "", "", 0.99),
+    ("SEC-001", "PYTHON", r"\bDEBUG['\"]?\]?\s*=\s*True\b|\.run\(.*\bdebug\s*=\s*True\b|\bALLOWED_HOSTS\s*=\s*[\[(]\s*['\"]\*['\"]", "", "", 0.95),
+    ("SEC-001", "PYTHON", r"\.set_cookie\(\s*['\"](?i)[\w-]*(session|auth|token|jwt|csrf|sid)", r"httponly\s*=\s*True.*secure\s*=\s*True|secure\s*=\s*True.*httponly\s*=\s*True", "", 0.95),
+    ("SEC-005", "PYTHON", r"\.objects\.raw\(\s*(f['\"]|['\"].*['\"]\s*[%+]|['\"].*['\"]\.format)", "", "", 0.96),
+    ("SEC-010", "PYTHON", r"\ballow_origins\s*=\s*[\[(]\s*['\"]\*['\"]", "", "", 0.98, r"\ballow_credentials\s*=\s*True\b"),
+    ("SEC-020", "PYTHON", r"\b(render_template_string|Markup|mark_safe)\(\s*([A-Za-z_][\w.\[\]]*\s*[,)]|f['\"]|['\"].*['\"]\s*[%+]|['\"].*['\"]\.format)", r"^\s*def\s", "", 0.95),
     ("SEC-018", "JAVASCRIPT,TYPESCRIPT", r"crypto\.createCipher(iv)?\(\s*['\"]des[^'\"]*['\"]", "", "", 0.99),
 )
 #: By rule and a language: texts in lower case of which a file that breaks the rule holds one; cheaper to see than patterns.
 HINTS = {
-    ("SEC-002", "PYTHON"): ("open",), ("SEC-004", "JAVA"): ("getruntime", "processbuilder"), ("SEC-004", "PYTHON"): ("os.", "subprocess."), ("SEC-004", "JAVASCRIPT"): ("exec", "eval"),
-    ("SEC-004", "KOTLIN"): ("runtime",), ("SEC-005", "JAVA"): ("select", "insert", "update", "delete"), ("SEC-005", "PYTHON"): ("execute",), ("SEC-005", "JAVASCRIPT"): ("select", "insert", "update", "delete", ".query(", "db.execute("),
+    ("SEC-001", "PYTHON"): ("debug", "allowed_hosts", "set_cookie"), ("SEC-020", "PYTHON"): ("render_template_string", "markup(", "mark_safe"), ("SEC-002", "PYTHON"): ("open",), ("SEC-004", "JAVA"): ("getruntime", "processbuilder"), ("SEC-004", "PYTHON"): ("os.", "subprocess."), ("SEC-004", "JAVASCRIPT"): ("exec", "eval"),
+    ("SEC-004", "KOTLIN"): ("runtime",), ("SEC-005", "JAVA"): ("select", "insert", "update", "delete"), ("SEC-005", "PYTHON"): ("execute", ".raw("), ("SEC-005", "JAVASCRIPT"): ("select", "insert", "update", "delete", ".query(", "db.execute("),
     ("SEC-005", "KOTLIN"): ("rawquery(", "execsql(", "preparestatement(", "createquery(", "select ", "insert ", "update ", "delete "), ("SEC-006", "JAVA"): ("new file(", "paths.get("), ("SEC-006", "PYTHON"): ("open",),
     ("SEC-006", "KOTLIN"): ("file(", "fileinputstream(", "path.of("), ("SEC-007", "JAVA"): (".readobject", ".readunshared"), ("SEC-007", "PYTHON"): ("pickle.", "yaml."), ("SEC-009", "JAVA"): ("csrf",), ("SEC-009", "PYTHON"): ("@csrf_exempt",),
-    ("SEC-010", "JAVA"): ("@crossorigin", "allowedorigins("), ("SEC-010", "PYTHON"): ("cors(",), ("SEC-012", "JAVASCRIPT"): ("fetch", "axios.get", "http.get"), ("SEC-012", "PYTHON"): ("requests.",), ("SEC-012", "KOTLIN"): ("url(",),
+    ("SEC-010", "JAVA"): ("@crossorigin", "allowedorigins("), ("SEC-010", "PYTHON"): ("cors(", "allow_origins"), ("SEC-012", "JAVASCRIPT"): ("fetch", "axios.get", "http.get"), ("SEC-012", "PYTHON"): ("requests.",), ("SEC-012", "KOTLIN"): ("url(",),
     ("SEC-013", "JAVASCRIPT"): ("jwt.verify(",), ("SEC-018", "PYTHON"): ("hashlib.",), ("SEC-018", "JAVA"): ("getinstance(",), ("SEC-018", "JAVASCRIPT"): ("createhash(", "createcipher"), ("SEC-019", "JAVASCRIPT"): ("math.random()",),
     ("SEC-019", "KOTLIN"): ("random",), ("SEC-020", "JAVASCRIPT"): ("innerhtml", "document.write(", "dangerouslysetinnerhtml"), ("ARCH-003", "JAVA"): ("system.", "math.random()", "new random("),
 }

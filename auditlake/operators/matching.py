@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,34 @@ def resolved_paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return best.select("wanted_id", F.col("m.known_id").alias("known_id"), how.alias("how"))
 
 
+def patch_of(found: DataFrame, patches: DataFrame) -> DataFrame:
+    """(finding_id, patch_id, how): the patch of each finding: by its id, else by its rule, else by the end of its path, else the first.
+
+    found has repository_id, finding_id, rule_id and path; patches repository_id, patch_id, finding_ids and rule_ids
+    (arrays) and path. Only patches of the finding's repository count, the one of the smallest patch_id among equals;
+    findings of repositories without patches give no row. Paths match if one is an end of the other. Every way is an
+    equi-join with patches that are aggregated by their key first.
+    """
+    def lowered(name: str) -> Column:
+        return F.lower(C.normal_path(F.col(name)))
+
+    def keyed(key: Column, rank: int) -> DataFrame:
+        rows = patches.select("repository_id", "patch_id", key.alias("key")).where("key is not null and key != ''")
+        return rows.groupBy("repository_id", "key").agg(F.min("patch_id").alias("patch_id")).withColumn("rank", F.lit(rank))
+
+    def asked(key: Column) -> DataFrame:
+        return found.select("repository_id", "finding_id", key.alias("key"))
+
+    ways = (
+        (asked(F.col("finding_id").cast("string")), keyed(F.explode("finding_ids"), 0)), (asked(F.lower("rule_id")), keyed(F.explode(F.transform("rule_ids", F.lower)), 1)),
+        (asked(F.explode(path_ends(lowered("path")))), keyed(lowered("path"), 2)), (asked(lowered("path")), keyed(F.explode(path_ends(lowered("path"))), 2)), (asked(F.lit("any")), keyed(F.lit("any"), 3)),
+    )
+    hits = reduce(DataFrame.unionByName, [a.join(b, ["repository_id", "key"]).select("finding_id", "rank", "patch_id") for a, b in ways])
+    best = hits.groupBy("finding_id").agg(F.min(F.struct("rank", "patch_id")).alias("m"))
+    how = F.element_at(F.array(*map(F.lit, ("id", "rule", "path", "first"))), F.col("m.rank") + 1)
+    return best.select("finding_id", F.col("m.patch_id").alias("patch_id"), how.alias("how"))
+
+
 def references(headers: DataFrame) -> DataFrame:
     """(src, dst): distinct references between a repository's classes, from their imports; src and dst are qualified."""
     own = F.concat_ws(".", "package", "primary_class")

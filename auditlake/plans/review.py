@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import catalog
 from auditlake.functions import columns as C
-from auditlake.operators import diffs, findings, ledger, patches, reports, taint
+from auditlake.operators import diffs, findings, ledger, matching, patches, reports, taint
 from auditlake.plans.audit import _ENCLOSED, _FIRST, _KEY, _file, _path, _quoted
 from auditlake.storage import table
 from auditlake.streaming import ledger as streams
@@ -103,6 +103,20 @@ def diff_hunks(spark: SparkSession, d: str) -> DataFrame:
     return diffs.touched(_diff_lines(spark, d), "diff_id")
 
 
+_ENDS = "({x} = {y} or ends_with({x}, '/' || {y}))"
+_FIXED = f"(select *, upper(rule_id) as r, lower({_path('file_path')}) as p from {_PATCHED} where patched != snippet)"
+
+
+@query("patch_lookup", f"""with p as materialized (select * from {_FIXED}), f as (select entry_id, repository_id, upper(rule_id) as r, lower({_path("file_path")}) as p from baseline_entries)
+  select entry_id as finding_id, m.id as patch_id, ['id', 'rule', 'path', 'first'][m.rank + 1] as how from (select f.entry_id, min({{'rank': case when p.entry_id = f.entry_id then 0 when p.r = f.r then 1
+    when p.p != '' and f.p != '' and ({_ENDS.format(x="f.p", y="p.p")} or {_ENDS.format(x="p.p", y="f.p")}) then 2 else 3 end, 'id': p.entry_id}}) as m from f join p on p.repository_id = f.repository_id group by 1)""")
+def patch_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The patch that goes with each entry: its own, else one of its rule, its file or its repository."""
+    rows = patches.patched(table(spark, d, "baseline_entries"))
+    fixed = rows.where("patched != snippet").select("repository_id", F.col("entry_id").alias("patch_id"), F.array(F.col("entry_id").cast("string")).alias("finding_ids"), F.array("rule_id").alias("rule_ids"), F.col("file_path").alias("path"))
+    return matching.patch_of(rows.select("repository_id", F.col("entry_id").alias("finding_id"), "rule_id", F.col("file_path").alias("path")), fixed)
+
+
 @query("composed_patches")
 def composed_patches(spark: SparkSession, d: str) -> DataFrame:
     """Files with the fixes of all their findings, and what became of them."""
@@ -140,7 +154,8 @@ def taint_across(spark: SparkSession, d: str) -> DataFrame:
 def _reportable(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
     rows = table(spark, d, "baseline_entries").withColumn("rule_key", C.rule_key(F.col("rule_id"))).join(F.broadcast(catalog.rules(spark)), "rule_key", "left")
-    return rows.select("repository_id", "entry_id", "priority", F.upper("rule_id").alias("rule_id"), level.alias("level"), C.collapsed(F.col("snippet")).alias("message"), C.normal_path(F.col("file_path")).alias("path"), "start_line", "end_line")
+    return rows.select("repository_id", "entry_id", "priority", F.upper("rule_id").alias("rule_id"), level.alias("level"), C.collapsed(F.col("snippet")).alias("message"), C.normal_path(F.col("file_path")).alias("path"), "start_line", "end_line", "snippet",
+        F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.col("cwe").cast("string"), F.lit(".html")).alias("help_uri"))
 
 
 @query("sarif_export")

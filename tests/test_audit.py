@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,42 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     assert streams.drained(stream.select("run_id"), "t").count() == 5
     got = [(r.rows, (r.ended - r.started).total_seconds() / 60) for r in streams.sessions(df, ["repository_id"], "received_at", "30 minutes").orderBy("started").collect()]
     assert got == [(7, 60.0), (1, 30.0), (1, 30.0), (1, 30.0)]
+
+
+def test_python_frameworks(spark):
+    lines = [
+        ("    return render_template_string(template)", {"SEC-020"}), ("    return Markup(user_bio)", {"SEC-020"}), ('    return render_template("hello.html", name="guest")', set()), ('x = mark_safe("<b>fixed</b>")', set()), ("x = mark_safe(f'<b>{y}</b>')", {"SEC-020"}),
+        ("from flask import Flask, Markup", set()), ("app.config['DEBUG'] = True", {"SEC-001"}), ("DEBUG = True", {"SEC-001"}), ("DEBUG = False", set()), ("ALLOWED_HOSTS = ['*']", {"SEC-001"}), ("ALLOWED_HOSTS = ['a.b']", set()), ("app.run(port=1, debug=True)", {"SEC-001"}),
+        ('users = User.objects.raw("SELECT * FROM users WHERE id = " + user_id)', {"SEC-005"}), ('users = User.objects.raw("SELECT 1")', set()), ('resp.set_cookie("session_id", "s")', {"SEC-001"}), ('r.set_cookie("auth_token", "v", httponly=True, secure=False)', {"SEC-001"}),
+        ('resp.set_cookie("session_id", "s", httponly=True, secure=True, samesite="Lax")', set()), ('resp.set_cookie("ui_theme", "dark")', set()),
+    ]
+    rows = [(1, "a.py", "\n".join(t for t, _ in lines)), (2, "b.py", 'add(\n    allow_origins=["*"],\n    allow_credentials=True,\n)'), (3, "c.py", 'add(\n    allow_origins=["https://a.b"],\n    allow_credentials=True,\n)'), (4, "d.py", 'add(allow_origins=["*"])')]
+    found = {(r.source_id, r.line_no, r.rule_key) for r in findings.rule_lines(spark.createDataFrame(rows, "source_id long, file_path string, raw_source string")).collect()}
+    expected = {(1, i, key) for i, (_, keys) in enumerate(lines, 1) for key in keys} | {(2, 2, "SEC-010")}
+    assert found == expected
+
+
+def test_hints_lose_no_finding(spark):
+    """Rules with and without their hints find the same in files of every rule's own words."""
+    df = spark.read.parquet("/root/testdata/sf0.01/sources.parquet") if os.path.exists("/root/testdata/sf0.01") else None
+    if df is None:
+        pytest.skip("no test tables")
+    with_hints = {(r.source_id, r.line_no, r.rule_key, r.confidence) for r in findings.rule_lines(df).collect()}
+    held = dict(findings.HINTS)
+    findings.HINTS.clear()
+    try:
+        without = {(r.source_id, r.line_no, r.rule_key, r.confidence) for r in findings.rule_lines(df).collect()}
+    finally:
+        findings.HINTS.update(held)
+    assert with_hints == without and with_hints
+
+
+def test_sarif_names_the_rules_of_its_results(spark):
+    rows = [("R", "a.py", "SEC-002", "note", "m", 3, 2, "x = 1", "u2"), ("R", "a.py", "SEC-001", "error", "m", None, None, None, "u1"), ("R", None, None, "note", None, 1, 1, " ", None), ("R", "a.py", "SEC-001", "error", "n", 9, 9, "y", "u1")]
+    df = spark.createDataFrame(rows, "repository_id string, path string, rule_id string, level string, message string, start_line int, end_line int, snippet string, help_uri string")
+    runs = [json.loads(r.sarif)["runs"][0] for r in reports.sarif(df, "repository_id").collect()]
+    assert len(runs) == 1
+    ids = [r["id"] for r in runs[0]["tool"]["driver"]["rules"]]
+    assert sorted(ids) == ["", "SEC-001", "SEC-002"] and all(ids[r["ruleIndex"]] == r.get("ruleId", "") for r in runs[0]["results"])
+    places = [r["locations"][0]["physicalLocation"] for r in runs[0]["results"]]
+    assert places[0]["artifactLocation"] == {"uri": "unknown", "uriBaseId": "%SRCROOT%"} and {"startLine": 3, "endLine": 3, "snippet": {"text": "x = 1"}} in [p["region"] for p in places]

@@ -96,3 +96,17 @@ def test_composition_of_tables(spark):
     rows = {r.source_id: (r.status, r.applied, r.patched) for r in patches.composed(src, found).collect()}
     assert rows == {1: ("SUCCESS", 1, "final AtomicLong n = new AtomicLong();\nn = 1;"), 2: ("MANUAL_REMEDIATION_REQUIRED", 0, "pickle.loads(x)")}
     assert patches.composed(src, found.limit(0)).count() == 0
+
+
+def test_patch_of_a_finding(spark):
+    fixed = spark.createDataFrame(
+        [("R", 1, ["7", "8"], ["SEC-001"], "src/a/File.java"), ("R", 2, [], ["SEC-002", "SEC-003"], "src/b/Other.java"), ("R", 3, None, None, "B/other.java"), ("R", 4, ["x"], ["SEC-003"], None)],
+        "repository_id string, patch_id long, finding_ids array<string>, rule_ids array<string>, path string",
+    )
+    found = spark.createDataFrame(
+        [(7, "R", "SEC-009", "q"), (20, "R", "sec-003", "q"), (21, "R", "SEC-009", "deep\\src\\b\\OTHER.java"), (22, "R", "SEC-009", "File.java"), (23, "R", None, None), (24, "Q", "SEC-001", "File.java"), (25, "R", "SEC-009", "xFile.java")],
+        "finding_id long, repository_id string, rule_id string, path string",
+    )
+    got = {(r.finding_id, r.patch_id, r.how) for r in matching.patch_of(found, fixed).collect()}
+    assert got == {(7, 1, "id"), (20, 2, "rule"), (21, 2, "path"), (22, 1, "path"), (23, 1, "first"), (25, 1, "first")}
+    assert matching.patch_of(found, fixed.limit(0)).count() == 0 and matching.patch_of(found.limit(0), fixed).count() == 0
