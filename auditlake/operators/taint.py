@@ -7,9 +7,14 @@ known is reached again on an earlier line only, so cycles end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions import columns as C
 from auditlake.operators.findings import enclosing_functions, is_head
 from auditlake.storage import staged
 
@@ -25,16 +30,20 @@ PARAMETER = r"([A-Za-z_]\w*)\s*[,):=]"
 
 
 def statements(sources: DataFrame) -> DataFrame:
-    """(source_id, function, line_no, head, target, params, words, outside, sink, cleaned) of the lines inside functions."""
-    rows = enclosing_functions(sources).where("function != 'moduleScope'")
-    target = F.regexp_extract("line", ASSIGNED, 1)
-    head = is_head(F.col("line"))
-    read = F.when(target != "", F.regexp_extract("line", ASSIGNED, 2)).otherwise(F.col("line"))
-    return rows.select(
-        "source_id", "function", "line_no", head.alias("head"), F.when(~head, F.nullif(target, F.lit(""))).alias("target"),
-        F.when(head, F.regexp_extract_all(F.regexp_replace(F.regexp_extract("line", r"\((.*)$", 1), SCALAR, " "), F.lit(PARAMETER), F.lit(1))).alias("params"),
-        F.array_distinct(F.regexp_extract_all(F.regexp_replace(read, r"\"[^\"]*\"|'[^']*'", " "), F.lit(WORD), F.lit(0))).alias("words"),
-        F.col("line").rlike(OUTSIDE).alias("outside"), (~head & F.col("line").rlike(SINKS)).alias("sink"), F.col("line").rlike(CLEANED).alias("cleaned"),
+    """(source_id, function, line_no, head, target, params, words, outside, sink, cleaned) of heads, assignments and sinks inside functions.
+
+    Patterns are looked for only in lines that hold their sign, and words only where they are read.
+    """
+    line, target = F.col("line"), F.col("target")
+    rows = enclosing_functions(sources).where("function != 'moduleScope'").withColumn("head", is_head(line))
+    rows = rows.withColumn("target", F.when(~F.col("head") & line.contains("="), F.nullif(F.regexp_extract("line", ASSIGNED, 1), F.lit("")))).withColumn("sink", ~F.col("head") & line.contains("(") & line.rlike(SINKS))
+    some = rows.where("head or sink or target is not null")
+    read = F.when(target.isNotNull(), F.regexp_extract("line", ASSIGNED, 2)).otherwise(line)
+    return some.select(
+        "source_id", "function", "line_no", "head", "target",
+        F.when(F.col("head"), F.regexp_extract_all(F.regexp_replace(F.regexp_extract("line", r"\((.*)$", 1), SCALAR, " "), F.lit(PARAMETER), F.lit(1))).alias("params"),
+        F.when(~F.col("head"), F.array_distinct(F.regexp_extract_all(F.regexp_replace(read, r"\"[^\"]*\"|'[^']*'", " "), F.lit(WORD), F.lit(0)))).alias("words"),
+        (target.isNotNull() & line.rlike(OUTSIDE)).alias("outside"), "sink", (target.isNotNull() & line.rlike(CLEANED)).alias("cleaned"),
     )
 
 
@@ -149,3 +158,78 @@ def flows_across(sources: DataFrame, depth: int = 5) -> DataFrame:
     ends = sinks.select(F.col("source_id").alias("to_id"), F.col("function").alias("to_function"), F.col("origin").alias("to_origin"), F.col("line_no").alias("sink_line")).distinct()
     found = reached.join(ends, place).groupBy(*key, "origin", "to_id", "to_function", "sink_line").agg(F.min("calls").alias("calls"))
     return found.select(*key, F.col("origin").alias("variable"), F.col("to_id").alias("sink_source_id"), F.col("to_function").alias("sink_function"), "sink_line", "calls")
+
+
+#: Fixed values of Python: decorators of handlers, names of parameters from outside, sources, cleaning calls and sinks.
+HANDLER = r"^\s*@[\w.]*(?:route|get|post|put|delete|api)"
+FROM_OUTSIDE = r"(?i)input|user|payload|query|param|body|path|url|data"
+PY_SOURCES = r"request\.(?:args|form|values|json|GET|POST|query_params|body)|sys\.argv|os\.environ"
+PY_CLEANERS = r"shlex\.quote|os\.path\.realpath|os\.path\.commonpath|yaml\.safe_load|ast\.literal_eval|escape|secrets\.token"
+PY_SINKS = (
+    r"(?<![\w.])(?:os\.(?:system|popen|remove)|subprocess\.\w+|eval|exec|open|io\.open|requests\.\w+|httpx\.\w+|urllib\.request\.\w+|_?pickle\.\w+)\s*\(|(?:\.|(?<![\w.]))(?:execute|executemany|raw)\s*\("
+)
+BOUND = r"\.execute(?:many)?\(\s*[\"'][^\"']*[\"']\s*,"
+_PY_ASSIGNED = re.compile(r"^\s*([A-Za-z_]\w*)\s*(?::\s*[\w\[\], .|]+)?=\s*([^=].*)$")
+_PY_STRING = re.compile(r"(?<![fF\w])(?:\"[^\"]*\"|'[^']*')")
+
+
+def python_function(lines: list[tuple[int, str]], params: list[str]) -> list[tuple[int, str, int, bool]]:
+    """(sink line, variable, assignments on the way, bound) for the lines of a function and its tainted parameters.
+
+    Statements are taken in order: a source taints its target, a cleaning call clears it, a value that reads a tainted
+    variable taints it; other values change nothing. Sinks then see what is tainted at the end, the variable tainted first
+    counts. bound tells a query with its values apart from its text.
+    """
+    tainted: dict[str, int] = dict.fromkeys(params, 0)
+
+    def read(text: str) -> str | None:
+        words = set(re.findall(WORD, _PY_STRING.sub(" ", text)))
+        return next((v for v in tainted if v in words), None)
+
+    for _, line in lines:
+        if m := _PY_ASSIGNED.match(line):
+            target, value = m.groups()
+            if re.search(PY_SOURCES, value):
+                tainted[target] = 0
+            elif re.search(PY_CLEANERS, value):
+                tainted.pop(target, None)
+            elif (origin := read(value)) is not None and origin != target:
+                tainted[target] = tainted[origin] + 1
+    out = []
+    for number, line in lines:
+        for m in re.finditer(PY_SINKS, _PY_STRING.sub(lambda x: " " * len(x.group()), line)):
+            variable = read(line[m.end() :])
+            if variable is not None:
+                out.append((number, variable, tainted[variable], bool(re.search(BOUND, line[max(0, m.start() - 1) :]))))
+                break
+    return out
+
+
+def python_flows(sources: DataFrame) -> DataFrame:
+    """(source_id, function, sink_line, variable, hops, bound): sinks of Python functions that tainted variables reach.
+
+    Parameters are tainted if the function is a handler of a route (a decorator up to three lines above says so) or their
+    name speaks of outside values; self and cls are not. Cleaning clears a variable. Functions are followed one by one, each by
+    its lines alone; files of other languages, null and empty texts give no rows.
+    """
+    python = sources.where(C.language_of(F.col("file_path")) == "PYTHON")
+    above = Window.partitionBy("source_id").orderBy("line_no")
+    rows = enclosing_functions(python).withColumn("head", is_head(F.col("line"))).withColumn("handler", F.coalesce(F.max(F.col("line").rlike(HANDLER)).over(above.rowsBetween(-3, -1)), F.lit(False)))
+    nth = F.sum(F.col("head").cast("int")).over(above.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = F.transform(F.split(F.regexp_extract("line", r"\(([^()]*)", 1), ","), lambda x: F.regexp_extract(x, r"^\s*\**\s*([A-Za-z_]\w*)", 1))
+    mine = F.filter(names, lambda x: ~x.isin("", "self", "cls") & (F.col("handler") | x.rlike(FROM_OUTSIDE)))
+    body = rows.withColumn("nth", nth).where("function != 'moduleScope'")
+    params = F.first(F.when(F.col("head"), mine), ignorenulls=True).alias("params")
+    lines = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))).alias("lines")
+    each = body.groupBy("source_id", "function", "nth").agg(params, lines).select("source_id", "function", F.coalesce("params", F.array().cast("array<string>")).alias("params"), "lines")
+    kind = each.schema["source_id"].dataType.simpleString()
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *f) for i, (params, lines) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))) for f in python_function([(x["line_no"], x["line"]) for x in lines], params)]
+            at, *columns = zip(*found) if found else [[]] * 5
+            held = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]]
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(held + [pa.array(c, k) for c, k in zip(columns, kinds)], ["source_id", "function", "sink_line", "variable", "hops", "bound"])
+
+    return each.mapInArrow(follow, f"source_id {kind}, function string, sink_line int, variable string, hops int, bound boolean")

@@ -145,6 +145,12 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return taint.flows(table(spark, d, "sources"))
 
 
+@query("python_flows")
+def python_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Sinks of Python functions that tainted variables reach, statement by statement."""
+    return taint.python_flows(table(spark, d, "sources"))
+
+
 @query("taint_across")
 def taint_across(spark: SparkSession, d: str) -> DataFrame:
     """Sinks that values reach through calls of other functions."""

@@ -69,3 +69,38 @@ def test_a_chain_of_calls_ends_at_the_depth(spark):
     body = "".join(f"  private void f{i}(String a{i}) {{\n    f{i + 1}(a{i});\n  }}\n" for i in range(7)) + "  private void f7(String z) {\n    db.execute(z);\n  }\n"
     src = spark.createDataFrame([(1, "R", "A.java", "class A {\n" + body + "}\n")], "source_id long, repository_id string, file_path string, raw_source string")
     assert {(r.function, r.calls) for r in taint.flows_across(src).collect()} == {(f"f{i}", 7 - i) for i in range(3, 7)}
+
+
+def test_python_flows(spark):
+    text = """import os
+@app.route("/a")
+def a(self, name, n=3):
+    cmd = "ls " + name
+    os.system(cmd)
+    cursor.execute("select %s", (cmd,))
+    cursor.execute("select " + name)
+
+def b(other, user_id, *rest):
+    safe = shlex.quote(user_id)
+    os.system(safe)
+    os.system(other)
+    requests.get(user_id)
+
+def c():
+    x = request.args.get("q")
+    y = x
+    y = html.escape(y)
+    open(y)
+    eval(f"{x}")
+    print("x", 'os.system(x')
+
+def d(x):
+    pickle.loads(x)
+"""
+    rows = [(1, "R", "a.py", text), (2, "R", "A.java", "class A { void f(String user) {\n  exec(user);\n} }"), (3, "R", "b.py", None), (4, "R", "c.py", "")]
+    src = spark.createDataFrame(rows, "source_id long, repository_id string, file_path string, raw_source string")
+    found = {(r.source_id, r.function, r.sink_line, r.variable, r.hops, r.bound) for r in taint.python_flows(src).collect()}
+    assert found == {
+        (1, "a", 5, "cmd", 1, False), (1, "a", 6, "cmd", 1, True), (1, "a", 7, "name", 0, False), (1, "b", 13, "user_id", 0, False), (1, "c", 20, "x", 0, False),
+    }
+    assert taint.python_flows(src.limit(0)).count() == 0
