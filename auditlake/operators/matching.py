@@ -39,8 +39,8 @@ def baseline_structural(new: DataFrame, old: DataFrame, window: int = 5) -> Data
 
     Paths are the same, without case, if they are equal or one ends with the other. Same method means the same non-blank
     method name; nearby at most `window` lines apart. Every way is an equi-join: old entries are aggregated by path and
-    method, and by path and line, each standing for the 2 * window + 1 lines around it; the longer of two paths stands
-    for each of its ends. So no key pairs all its rows with all others.
+    method, and by path and line; one side stands for the 2 * window + 1 lines around it, and the longer of two paths for
+    each of its ends. So no key pairs all its rows with all others.
     """
     key = ["repository_id", "rule", "path"]
 
@@ -55,13 +55,15 @@ def baseline_structural(new: DataFrame, old: DataFrame, window: int = 5) -> Data
     by_method = b.where("method != ''").groupBy(*key, "method").agg(F.min("entry_id").alias("baseline_id"))
     near = b.where("start_line is not null").select(*key, "entry_id", F.explode(F.sequence(F.col("start_line") - window, F.col("start_line") + window)).alias("start_line"))
     by_line = near.groupBy(*key, "start_line").agg(F.min("entry_id").alias("baseline_id"))
-    hits = None
-    for table, of in ((by_method, "method"), (by_line, "start_line")):
-        # The new path ends with the old one (or is it); the old one ends with the new one: its ends are aggregated again.
-        longer = ends(table).groupBy(*key, of).agg(F.min("baseline_id").alias("baseline_id"))
-        for left, right in ((ends(a), table), (a, longer)):
-            found = left.join(right, [*key, of]).select("entry_id", "baseline_id")
-            hits = found if hits is None else hits.unionByName(found)
+    def ended(df: DataFrame, of: str) -> DataFrame:
+        """df with its paths' ends for its paths, aggregated again."""
+        return ends(df).groupBy(*key, of).agg(F.min("baseline_id").alias("baseline_id"))
+
+    # The new path ends with the old one or is it; the old one ends with the new one, where the new side stands for its lines.
+    at_line = b.where("start_line is not null").groupBy(*key, "start_line").agg(F.min("entry_id").alias("baseline_id"))
+    around = a.where("start_line is not null").withColumn("start_line", F.explode(F.sequence(F.col("start_line") - window, F.col("start_line") + window)))
+    ways = ((ends(a), by_method, "method"), (a, ended(by_method, "method"), "method"), (ends(a), by_line, "start_line"), (around, ended(at_line, "start_line"), "start_line"))
+    hits = reduce(DataFrame.unionByName, [left.join(right, [*key, of]).select("entry_id", "baseline_id") for left, right, of in ways])
     return hits.groupBy("entry_id").agg(F.min("baseline_id").alias("baseline_id"))
 
 
