@@ -4,9 +4,10 @@ Candidates are the values of string literals (pieces joined by + count as one),
 strings, of authorization headers, of comments that speak of a login, and private key blocks. A logistic regression
 scores each from three kinds of evidence: how likely its characters are under Markov chains of credentials and of
 ordinary words, the identifiers around it, and its path. Its training rows are labelled weakly, by patterns, which are
-no evidence themselves; they are a bounded sample of the candidates (sample rows of each label, by hash). Its weights
-are held near known ones, which decide alone where there is nothing to learn from. Scores are calibrated on a part held
-out. A last exact check drops masked values, references, plain identifiers, paths and hashes.
+no evidence themselves; they are all candidates that patterns label. The evidence is written once and read in each
+round of the fit, which adds up losses and gradients of all rows where they lie. Its weights are held near known ones,
+which decide alone where there is nothing to learn from. Scores are calibrated on a part held out. A last exact check
+drops masked values, references, plain identifiers, paths and hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -77,7 +79,6 @@ WORDY = re.compile(r"^[a-z]+(?:-[a-z]+)+$")
 BLOB = 60
 
 CANDIDATE = "origin string, record_id string, path string, context string, key string, value string, line_no int, starts array<int>, ends array<int>, label int"
-SAMPLE = 8000
 
 
 def words_of(name: str) -> list[str]:
@@ -250,13 +251,18 @@ class Values:
         return np.bincount(keys // 97, -shares * np.log2(shares), len(self.sizes))
 
 
+def pairs_of(values: list[str]) -> np.ndarray:
+    """How often each character of many values follows each."""
+    codes = Values(values).codes
+    return np.bincount(codes[:-1] * 97 + codes[1:], minlength=97 * 97).reshape(97, 97)
+
+
 class Markov:
     """A chain of characters of order one over printable ASCII, other characters as one."""
 
-    def __init__(self, values: list[str]):
-        counts = np.ones((97, 97))
-        codes = Values(values).codes
-        np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    def __init__(self, values: list[str], counts: np.ndarray | None = None):
+        """counts: pairs_of the values where they are counted already; counts add up."""
+        counts = (pairs_of(values) if counts is None else counts) + 1.0
         self.logs = np.log(counts / counts.sum(1, keepdims=True))
 
     def means(self, values: Values) -> np.ndarray:
@@ -293,11 +299,21 @@ def _known_weights() -> np.ndarray:
     return w
 
 
+#: Set in a slot's number where it weighs a quarter, as parts of a path do.
+QUARTER = 1 << 20
+
+
 class Evidence:
     """What is known of candidates (context, key, value, path): numbers of their characters, and weighted slots of the
     identifiers around them, their context, their value's beginning and their path. No pattern that labels is among it.
     """
 
+    def _hold(self, dense: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> None:
+        """dense: rows of DENSE numbers; slots: of all rows one after another, counts of them each row's."""
+        self.dense, self.marked, self.counts = dense, slots, counts
+        self.slots, self.weights = slots & (QUARTER - 1), np.where(slots & QUARTER, 0.25, 1.0)
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+
     def __init__(self, rows: list[tuple[str, str, str, str]], chains: tuple[Markov, Markov]):
         values = Values([r[2] for r in rows])
         n, size = np.maximum(1, values.sizes), values.sizes
@@ -309,10 +325,8 @@ class Evidence:
             digits + values.share("a", "f") + values.share("A", "F"), size < 8, size >= 20, mixed, mixed & (size >= 20), size >= BLOB,
             values.share("-", "-"), values.share(".", "."), values.share("/", "/"), values.share("_", "_"), (digits > 0) & (upper > 0) & (lower == 0),
         )
-        self.dense = np.stack([np.asarray(c, float) for c in columns], 1)
         slots: list[int] = []
-        weights: list[float] = []
-        self.counts = np.zeros(len(rows), np.int64)
+        counts = np.zeros(len(rows), np.int64)
         names: dict[str, list[int]] = {}
         paths: dict[str, list[int]] = {}
         for i, (context, key, value, path) in enumerate(rows):
@@ -322,13 +336,30 @@ class Evidence:
                 named = names[key] = [_slot(f"w:{w}") for w in words] + [_slot(f"p:{a} {b}") for a, b in zip(words, words[1:])]
             placed = paths.get(path)
             if placed is None:
-                placed = paths[path] = [_slot(f"d:{part.lower()}") for part in re.split(r"[\\/.]", path)]
+                placed = paths[path] = [_slot(f"d:{part.lower()}") | QUARTER for part in re.split(r"[\\/.]", path)]
             slots += [*named, _slot(f"c:{context}"), _slot(f"v:{value[:4]}"), _slot(f"s:{_shape(value)}"), *placed]
-            weights += [1.0] * (len(named) + 3) + [0.25] * len(placed)
-            self.counts[i] = len(named) + 3 + len(placed)
-        self.slots, self.weights = np.array(slots, np.int64), np.array(weights)
+            counts[i] = len(named) + 3 + len(placed)
+        self._hold(np.stack([np.asarray(c, float) for c in columns], 1), np.array(slots, np.int64), counts)
+
+    def packed(self) -> tuple[list[bytes], list[bytes]]:
+        """Each row's numbers, and its slots, as bytes."""
+        numbers, slots = self.dense.astype("<f4"), self.marked.astype("<i4")
+        ends = np.cumsum(self.counts)
+        return [row.tobytes() for row in numbers], [slots[a:b].tobytes() for a, b in zip(ends - self.counts, ends)]
+
+    @classmethod
+    def unpacked(cls, dense: pa.BinaryArray, slots: pa.BinaryArray) -> Evidence:
+        """The evidence of rows that were packed, read in place."""
+
+        def flat(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+            _, at, data = column.buffers()
+            at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+            return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // 4
 
-        self.owner = np.repeat(np.arange(len(rows)), self.counts)
+        numbers, (held, counts) = flat(dense, "<f4")[0], flat(slots, "<i4")
+        evidence = cls.__new__(cls)
+        evidence._hold(numbers.astype(float).reshape(-1, DENSE), held.astype(np.int64), counts.astype(np.int64))
+        return evidence
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return self.dense @ w[:DENSE] + np.bincount(self.owner, w[DENSE + self.slots] * self.weights, len(self.dense))
@@ -338,37 +369,108 @@ class Evidence:
         return np.concatenate((errors @ self.dense, np.bincount(self.slots, self.weights * errors[self.owner], HASHED)))
 
 
+def held_out(value: str) -> bool:
+    """Whether rows of a value calibrate instead of train: a fifth of the values."""
+    return zlib.crc32(value.encode("utf-8")) % 5 == 0
+
+
+def losses(scores: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
+    """The sum of the logistic losses, and the error of each row."""
+    loss = np.logaddexp(0, scores) - labels * scores
+    return float(loss.sum()), 1 / (1 + np.exp(-np.clip(scores, -30, 30))) - labels
+
+
+def fit(sums: Callable[[np.ndarray], tuple[float, np.ndarray]], known: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
+    """Weights of least loss, held near known ones, by L-BFGS; sums gives a loss and gradient over all rows for weights.
+
+    Every round is one pass over all rows; it ends earlier where no step makes the loss a ten-thousandth less.
+    """
+
+    def whole(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = sums(w)
+        return value + penalty / 2 * float((w - known) @ (w - known)), g + penalty * (w - known)
+
+    w, steps = known.copy(), []
+    value, g = whole(w)
+    size = 1.0
+    for _ in range(rounds):
+        d, parts = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            parts.append(a)
+            d = d - a * y
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, float(np.abs(g).max()))
+        for (s, y), a in zip(steps, reversed(parts)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        v, h = whole(w + size * d)
+        if v > value + 1e-4 * size * float(g @ d):
+            size /= 4
+            if size < 1e-4:
+                break
+            continue
+        s, y = size * d, h - g
+        if s @ y > 1e-10:
+            steps = [*steps[-7:], (s, y)]
+        less = value - v
+        w, value, g, size = w + s, v, h, 1.0
+        if less < 1e-4 * max(1.0, value):
+            break
+    return w
+
+
+Sums = Callable[[np.ndarray, np.ndarray | None], tuple[float, np.ndarray]]
+
+
 class Scorer:
     """Logistic regression with an L2 penalty towards known weights, calibrated by a second one on rows held out.
 
     penalty is worth so many rows: with none to learn from, the known weights score; with thousands they hardly count.
     """
 
-    def __init__(self, rows: list[tuple[str, str, str, str, int]], penalty: float = 2.0, rounds: int = 150):
+    def __init__(self, rows: list[tuple[str, str, str, str, int]], penalty: float = 2.0, rounds: int = 40):
         """rows of (context, key, value, path, label)."""
         labels = np.array([r[4] for r in rows], float)
-        held = np.array([zlib.crc32(r[2].encode("utf-8")) % 5 == 0 for r in rows], bool)
-        self.chains = (Markov([r[2] for r in rows if r[4] == 1]), Markov([r[2] for r in rows if r[4] == 0]))
-        evidence = Evidence([r[:4] for r in rows], self.chains)
-        self.weights = self._fit(evidence.scores, evidence.gradient, labels, ~held, _known_weights(), penalty, rounds)
-        scores = evidence.scores(self.weights)
-        line = np.stack([np.ones(len(scores)), scores], 1)
-        self.scale = self._fit(lambda w: line @ w, lambda e: e @ line, labels, held, np.array([0.0, 1.0]), 10.0, rounds)
-
-    @staticmethod
-    def _fit(scores: Callable, gradient: Callable, labels: np.ndarray, used: np.ndarray, known: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
-        w, m, v, n = known.copy(), np.zeros_like(known), np.zeros_like(known), used.sum() + penalty
-        for t in range(1, rounds + 1):
-            errors = (1 / (1 + np.exp(-np.clip(scores(w), -30, 30))) - labels) * used
-            g = (gradient(errors) + penalty * (w - known)) / n
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return w
+        held = np.array([held_out(r[2]) for r in rows], bool)
+        chains = (Markov([r[2] for r in rows if r[4] == 1]), Markov([r[2] for r in rows if r[4] == 0]))
+        evidence = Evidence([r[:4] for r in rows], chains)
+        self._train(chains, lambda w, line: sums_of(evidence, labels, held, w, line), penalty, rounds)
+
+    @classmethod
+    def over(cls, chains: tuple[Markov, Markov], sums: Sums, penalty: float = 2.0, rounds: int = 40) -> Scorer:
+        """A scorer of rows that lie elsewhere: sums gives sums_of all of them."""
+        scorer = cls.__new__(cls)
+        scorer._train(chains, sums, penalty, rounds)
+        return scorer
+
+    def _train(self, chains: tuple[Markov, Markov], sums: Sums, penalty: float, rounds: int) -> None:
+        self.chains = chains
+        self.weights = fit(lambda w: sums(w, None), _known_weights(), penalty, rounds)
+        self.scale = fit(lambda line: sums(self.weights, line), np.array([0.0, 1.0]), 10.0, rounds)
+
+    def chances(self, evidence: Evidence) -> np.ndarray:
+        scores = self.scale[0] + self.scale[1] * evidence.scores(self.weights)
+        return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
     def probabilities(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
         """How probable it is of each (context, key, value, path) that its value is a credential."""
-        scores = self.scale[0] + self.scale[1] * Evidence(rows, self.chains).scores(self.weights)
-        return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        return self.chances(Evidence(rows, self.chains))
+
+
+def sums_of(evidence: Evidence, labels: np.ndarray, held: np.ndarray, weights: np.ndarray, line: np.ndarray | None) -> tuple[float, np.ndarray]:
+    """The loss and gradient of some rows: of weights over those that train, or of a scale of scores over those held out."""
+    scores = evidence.scores(weights)
+    if line is None:
+        loss, errors = losses(scores[~held], labels[~held])
+        every = np.zeros(len(scores))
+        every[~held] = errors
+        return loss, evidence.gradient(every)
+    scores = scores[held]
+    loss, errors = losses(line[0] + line[1] * scores, labels[held])
+    return loss, np.array([errors.sum(), errors @ scores])
 
 
 def texts(sources: DataFrame, observations: DataFrame) -> DataFrame:
@@ -394,28 +496,68 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def scored(sources: DataFrame, observations: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of characters in the values of each label: one row of a task."""
+    counts = np.zeros((2, 97, 97), np.int64)
+    for batch in batches:
+        labels, values = (c.to_pylist() for c in batch.columns)
+        for label in (0, 1):
+            counts[label] += pairs_of([v for v, x in zip(values, labels) if x == label])
+    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+
+EVIDENCE = f"{CANDIDATE}, held boolean, no_case boolean, dense binary, slots binary"
+
+
+def _evident(chains: tuple[Markov, Markov], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(c, k, v, p or "") for p, c, k, v in zip(*(batch.column(n).to_pylist() for n in ("path", "context", "key", "value")))]
+        dense, slots = Evidence(rows, chains).packed()
+        more = [pa.array([held_out(r[2]) for r in rows], pa.bool_()), pa.array([no_case(r[1], r[2]) for r in rows], pa.bool_()), pa.array(dense, pa.binary()), pa.array(slots, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "held", "no_case", "dense", "slots"])
+
+
+def scored(sources: DataFrame, observations: DataFrame) -> DataFrame:
     """All candidates with their calibrated probability, and whether the exact check drops them.
 
-    sample bounds the rows of each weak label on which the classifier is trained; every candidate is scored.
+    All candidates that patterns label train the classifier, and every candidate is scored. A task sends its sums alone
+    to the driver: a number for each weight.
     """
     found = staged(spread(texts(sources, observations)).mapInArrow(_extract, CANDIDATE), "p5-candidates")
-    order = F.xxhash64("key", "value", "path")
-    drawn = [
-        r
-        for label in (0, 1)
-        for r in found.where(F.col("label") == label).select("context", "key", "value", "path", "label", order.alias("at")).orderBy("at", "key", "value").limit(sample).collect()
-    ]
-    model = Scorer([(r.context, r.key, r.value, r.path or "", r.label) for r in drawn])
-    sent = found.sparkSession.sparkContext.broadcast(model)
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = sent.value
-        for frame in frames:
-            rows = list(zip(frame["context"], frame["key"], frame["value"], frame["path"].fillna("")))
-            yield frame.assign(probability=scorer.probabilities(rows), no_case=[no_case(r[1], r[2]) for r in rows])
-
-    return found.mapInPandas(score, f"{CANDIDATE}, probability double, no_case boolean")
+    context = found.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    counts = np.zeros((2, 97, 97), np.int64)
+    for row in found.where("label is not null").select("label", "value").coalesce(cores).mapInArrow(_counted, "counts binary").toLocalIterator():
+        counts += np.frombuffer(row.counts, np.int64).reshape(counts.shape)
+    chains = (Markov([], counts[1]), Markov([], counts[0]))
+    evidence = staged(found.mapInArrow(partial(_evident, chains), EVIDENCE), "p5-evidence")
+    labelled = evidence.where("label is not null").select("label", "held", "dense", "slots")
+
+    def sums(weights: np.ndarray, line: np.ndarray | None) -> tuple[float, np.ndarray]:
+        sent = context.broadcast((weights, line))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, line = sent.value
+            loss, total = 0.0, np.zeros(len(weights if line is None else line))
+            for batch in batches:
+                if batch.num_rows:
+                    label, held, dense, slots = batch.columns
+                    more, gradient = sums_of(Evidence.unpacked(dense, slots), label.to_numpy().astype(float), held.to_numpy(zero_copy_only=False), weights, line)
+                    loss, total = loss + more, total + gradient
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["loss", "gradient"])
+
+        rows = labelled.where("held" if line is not None else "not held").coalesce(cores).mapInArrow(add, "loss double, gradient binary").collect()  # one for each core
+        sent.destroy()
+        return sum(r.loss for r in rows), sum((np.frombuffer(r.gradient) for r in rows), np.zeros(len(weights if line is None else line)))
+
+    model = context.broadcast(Scorer.over(chains, sums))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chances = model.value.chances(Evidence.unpacked(batch.column("dense"), batch.column("slots"))) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(chances, pa.float64())], [*batch.schema.names[:-2], "probability"])
+
+    return evidence.drop("held").mapInArrow(score, f"{CANDIDATE}, no_case boolean, probability double")
 
 
 def sure(candidates_: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -205,3 +205,16 @@ def test_sentences_leave_out_what_is_no_prose():
     text = "[SEC-001-FAIL-OPEN] FooBar:\n\nThe first one is here (see Foo.bar()). It works well today!\njava.lang.IllegalStateException: no entry found\n\tat org.a.B.c(D.java:7)\ndef f(x):\n    return x\n"
     assert R.sentences(text) == [["the", "first", "one", "is", "here"], ["it", "works", "well", "today"]]
     assert R.sentences("") == [] and len(R.sentences("word " * 50_000)) == 1
+
+
+def test_every_labelled_candidate_trains(spark):
+    """The fit over rows that lie in many tasks is the fit over all of them at once, and no row is left out."""
+    rows = [(1000 + i, "R", f"d/{i % 7}.py", text, "k") for i, text in enumerate(_training())]
+    src = spark.createDataFrame(rows, SOURCES).repartition(5)
+    obs = spark.createDataFrame([], "observation_id string, code_location struct<file_path:string,start_line:int>, finding_snippet string")
+    found = K.scored(src, obs).collect()
+    known = [(r.context, r.key, r.value, r.path, r.label) for r in found if r.label is not None]
+    assert len(known) > 100
+    expected = K.Scorer(known).probabilities([(r.context, r.key, r.value, r.path) for r in found])
+    assert np.abs(expected - np.array([r.probability for r in found])).max() < 0.01
+    assert "sample" not in K.scored.__code__.co_varnames
