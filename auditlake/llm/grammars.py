@@ -232,6 +232,12 @@ Primary = NUMBER / STRING / REGEX / Template / 'this' / 'super' / 'null' / 'true
 Property = '...' Assign / ('get' / 'set') PropName Params Block / ('async' NONL)? '*'? PropName Params Block / PropName ':' Assign / Id ('=' Assign)?
 """
 
+#: What elements add to the grammars of scripts.
+MARKUP = """
+Primary = NUMBER / STRING / REGEX / Template / Element / 'this' / 'super' / 'null' / 'true' / 'false' / Function / Class / Array / Object / Par / 'import' (Args / '.' Word) / PRIVATE / Id
+Element = JSX / JOPEN (JVALUE Expr '}' / JSPREAD Assign '}' / JCHILD ('...' Assign / Expr)? '}')* JCLOSE
+"""
+
 _TYPED_WORDS = (
     "abstract any asserts declare enum implements infer interface is keyof module namespace never override private protected public readonly require "
     "satisfies type unique accessor global out"
@@ -397,10 +403,15 @@ def grammar(language: str) -> Grammar:
         return Grammar(JAVA, plain)
     if language == "python":
         return Grammar(PYTHON, (*plain, "NEWLINE", "INDENT", "DEDENT"))
+    markup = ("JSX", "JOPEN", "JVALUE", "JSPREAD", "JCHILD", "JCLOSE")
     if language == "javascript":
         return Grammar(SCRIPT + _words("Word", _SCRIPT_WORDS), script)
+    if language == "jsx":
+        return Grammar(_over(SCRIPT, MARKUP) + "\n" + _words("Word", _SCRIPT_WORDS), script + markup)
     if language == "typescript":
         return Grammar(_over(SCRIPT, TYPED) + "\n" + _words("Word", _SCRIPT_WORDS + _TYPED_WORDS), script)
+    if language == "tsx":
+        return Grammar(_over(_over(SCRIPT, TYPED), MARKUP) + "\n" + _words("Word", _SCRIPT_WORDS + _TYPED_WORDS), script + markup)
     if language == "kotlin":
         soft = _words("Id", _KOTLIN_SOFT) + "\n" + "Modifier = " + " / ".join(f"'{w}'" for w in _KOTLIN_MODS)
         return Grammar(KOTLIN + soft + "\n" + _words("Word", _KOTLIN_HARD), plain)

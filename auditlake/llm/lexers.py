@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from auditlake.llm.peg import Grammar, Tokens
 
@@ -52,6 +53,123 @@ _KOTLIN_CODE = re.compile(r"(?:[^\"'`{}/]|/(?![/*])|//[^\n]*|/\*[\s\S]*?\*/|`[^`
 
 Spans = list[tuple[int, int]]
 
+#: JSX: what may stand between the parts of a tag, names, and texts between tags, which hold no other signs of tags or braces.
+_TAG_SPACE = re.compile(rf"(?:\s|{_COMMENT})*")
+_TAG_WORD = r"(?:[^\W\d]|\$)[\w$\-]*"
+_TAG_NAME = re.compile(rf"{_TAG_WORD}(?:\s*:\s*{_TAG_WORD}|(?:\s*\.\s*{_TAG_WORD})+)?")
+_ATTRIBUTE = re.compile(rf"{_TAG_WORD}(?:\s*:\s*{_TAG_WORD})?")
+_ATTRIBUTE_TEXT = re.compile(r"\"[^\"]*\"|'[^']*'")
+_TAG_TEXT = re.compile(r"[^<>{}]*")
+_SPREAD = re.compile(rf"(?:\s|{_COMMENT})*\.\.\.")
+#: Words that an expression may follow; and angle brackets that are type parameters wherever they stand, or where no such tag is closed.
+_LAST = re.compile(r"[\w$]+|[\s\S]")
+_BEFORE_TAG = frozenset("return default case else do typeof void delete in of instanceof throw yield await".split())
+_TYPE_PARAMETERS = re.compile(r"<\s*(?:const\s+)?[\w$]+\s*(?:,|\bextends\b(?!\s*[=/>]))")
+_GENERIC = re.compile(r"<\s*([\w$]+)(?:\s*=[^<>()]*)?\s*>\s*\(")
+
+
+def _type_arguments(text: str, at: int) -> int | None:
+    """The end of the angle brackets that open at `at`."""
+    depth = 0
+    for m in re.compile(r"=>|[<>]|\"[^\"\n]*\"|'[^'\n]*'").finditer(text, at):
+        depth += {"<": 1, ">": -1}.get(m.group(), 0)
+        if not depth:
+            return m.end()
+    return None
+
+
+def begins_tag(text: str, at: int, typed: bool) -> bool:
+    """Whether the sign < at `at`, where an operand may stand, begins an element and not type parameters."""
+    if typed:
+        generic = _GENERIC.match(text, at)
+        if _TYPE_PARAMETERS.match(text, at) or generic and not re.compile(rf"</\s*{re.escape(generic[1])}\s*>").search(text, at):
+            return False
+    after = _TAG_SPACE.match(text, at + 1).end()
+    return text.startswith(">", after) or _TAG_NAME.match(text, after) is not None
+
+
+def markup(text: str, at: int, open_: list, types: Callable[[str], bool] | None) -> tuple[int, str | None] | None:
+    """Reads an element's text from `at` on: the place behind it and None, or behind a brace and its kind; None if it is wrong.
+
+    open_ holds the elements that are open, and goes on with the same list behind the brace's match: [name, where we are
+    in it], which is "tag", "attributes", "value" or "children". types judges type arguments of tags, where there are any.
+    """
+    while True:
+        where = open_[-1][1]
+        if where == "children":
+            at = _TAG_TEXT.match(text, at).end()
+            if text.startswith("{", at):
+                return at + 1, "JCHILD"
+            if not text.startswith("<", at):
+                return None
+            after = _TAG_SPACE.match(text, at + 1).end()
+            if not text.startswith("/", after):
+                open_.append(["", "tag"])
+                at += 1
+                continue
+            at = _TAG_SPACE.match(text, after + 1).end()
+            m = _TAG_NAME.match(text, at)
+            name = re.sub(r"\s", "", m.group()) if m else ""
+            at = _TAG_SPACE.match(text, m.end() if m else at).end()
+            if name != open_.pop()[0] or not text.startswith(">", at):
+                return None
+        else:
+            at = _TAG_SPACE.match(text, at).end()
+            sign = text[at : at + 1]
+            if where == "tag":
+                open_[-1][1] = "attributes"
+                if sign == ">":
+                    open_[-1][1] = "children"
+                    at += 1
+                    continue
+                m = _TAG_NAME.match(text, at)
+                if m is None:
+                    return None
+                open_[-1][0] = re.sub(r"\s", "", m.group())
+                at = m.end()
+                after = _TAG_SPACE.match(text, at).end()
+                if types and text.startswith("<", after):
+                    at = _type_arguments(text, after)
+                    if at is None or not types(text[after:at]):
+                        return None
+                continue
+            if where == "value":
+                open_[-1][1] = "attributes"
+                if sign == "{":
+                    return at + 1, "JVALUE"
+                if sign == "<":
+                    open_.append(["", "tag"])
+                    at += 1
+                    continue
+                m = _ATTRIBUTE_TEXT.match(text, at)
+                if m is None:
+                    return None
+                at = m.end()
+                continue
+            if sign == "{":
+                m = _SPREAD.match(text, at + 1)
+                return (m.end(), "JSPREAD") if m else None
+            if sign == ">":
+                open_[-1][1] = "children"
+                at += 1
+                continue
+            if sign != "/":
+                m = _ATTRIBUTE.match(text, at)
+                if m is None:
+                    return None
+                after = _TAG_SPACE.match(text, m.end()).end()
+                at = m.end()
+                if text.startswith("=", after):
+                    open_[-1][1], at = "value", after + 1
+                continue
+            at = _TAG_SPACE.match(text, at + 1).end()
+            if not text.startswith(">", at):
+                return None
+            open_.pop()
+        at += 1
+        if not open_:
+            return at, None
+
 
 def kotlin_string(text: str, at: int) -> tuple[int, Spans] | None:
     """The end of the string that starts at `at`, and where the expressions in its templates stand; None if it has no end."""
@@ -101,10 +219,19 @@ def _template_error(text: str, holes: Spans, parses: Callable[[str], bool]) -> t
     return (min(wrong), "template that does not parse") if wrong else None
 
 
-def brackets(text: str, pattern: re.Pattern, grammar: Grammar, script: bool = False, lines_in_parens: bool = True, parses: Callable[[str], bool] | None = None) -> Tokens:
+@dataclass(frozen=True)
+class Tags:
+    """How elements are read: what judges type arguments (none in JavaScript), and whether one may follow a closing bracket."""
+
+    types: Callable[[str], bool] | None = None
+    after_brackets: bool = False
+
+
+def brackets(text: str, pattern: re.Pattern, grammar: Grammar, script: bool = False, lines_in_parens: bool = True, parses: Callable[[str], bool] | None = None, tags: Tags | None = None) -> Tokens:
     """Tokens of a language with brackets; in scripts, slashes and backquotes are told apart by what precedes them.
 
-    Where strings may hold templates with code, parses judges their expressions.
+    Where strings may hold templates with code, parses judges their expressions. With tags, elements of JSX are read: a
+    JSX token for one without braces, else JOPEN, for each brace the token of its kind, and JCLOSE.
     """
     kind_of, words = grammar.kind_of, grammar.literals
     name_kind, number, string = kind_of["NAME"], kind_of["NUMBER"], kind_of["STRING"]
@@ -148,7 +275,28 @@ def brackets(text: str, pattern: re.Pattern, grammar: Grammar, script: bool = Fa
                 kind = words.get(token, name_kind)
         elif group == _SIGN:
             token = m[5]
-            if script and (token == "`" or token[0] == "/" and not operand):
+            tag = False
+            if tags and token == "<" and begins_tag(text, begun, tags.types is not None):
+                before = _LAST.match(text, starts[-1]).group() if starts else ""
+                word = before[:1].isalpha() and (before in _BEFORE_TAG and not (len(starts) > 1 and text[starts[-2] : starts[-1]].strip() in (".", "?.")))
+                tag = word or not operand and not before[:1].isalpha() or tags.after_brackets and before[:1] in (")", "}")
+            if tag:
+                open_: list = [["", "tag"]]
+                step = markup(text, begun + 1, open_, tags.types)
+                if step is None:
+                    error = (begun, "tag that does not parse")
+                    break
+                end, hole = step
+                operand = hole is None
+                kind = kind_of["JSX" if operand else "JOPEN"]
+                found = pattern.finditer(text, end)
+                if not operand:
+                    add_kind(kind)
+                    add_break(line)
+                    add_start(begun)
+                    kind, line, begun = kind_of[hole], 0, end - 1
+                    stack.append(("<{", len(kinds), open_))
+            elif script and (token == "`" or token[0] == "/" and not operand):
                 m = (_TEMPLATE if token == "`" else _REGEX).match(text, begun + (token == "`"))
                 if m is None:
                     error = (begun, "unterminated literal")
@@ -172,10 +320,25 @@ def brackets(text: str, pattern: re.Pattern, grammar: Grammar, script: bool = Fa
                     stack.append((token, len(kinds)))
                 elif token in _CLOSE:
                     operand = True
-                    opened, where = stack[-1] if stack else ("", 0)
+                    opened, where = stack[-1][:2] if stack else ("", 0)
                     if _OPEN.get(opened) == token:
                         stack.pop()
                         matches[where] = len(kinds)
+                    elif opened == "<{" and token == "}":
+                        open_ = stack.pop()[2]
+                        step = markup(text, begun + 1, open_, tags.types)
+                        if step is None:
+                            error = (begun, "tag that does not parse")
+                            break
+                        add_kind(kind)
+                        add_break(line)
+                        add_start(begun)
+                        end, hole = step
+                        operand, line, begun = hole is None, 0, end - 1
+                        kind = kind_of[hole or "JCLOSE"]
+                        if hole:
+                            stack.append(("<{", len(kinds), open_))
+                        found = pattern.finditer(text, end)
                     elif opened == "${" and token == "}":
                         m = _TEMPLATE.match(text, begun + 1)
                         if m is None:

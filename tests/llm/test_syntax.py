@@ -276,3 +276,35 @@ def test_tables(spark):
     rates = {(r.repository_id, r.language, r.cause): (r.files, r.failed, r.rate) for r in S.rates(df).collect()}
     assert rates["R", "python", None] == (4, 2, 0.5) and rates[None, "java", None] == (1, 1, 1.0) and rates["R", "python", "unexpected token"] == (4, 2, 0.5)
     assert S.rates(df.limit(0)).count() == 0
+
+
+GOOD_JSX = [
+    "const a = <p className='x'>don't / stop {name} \u00e9 &gt; // no comment</p>;",
+    "export default () => <><A.B c:d='1\n2' {...p} e={f(<G/>)} h=<i/> j /> {/* none */} {...list}{}</>;",
+    "function f() { return (\n  <ul>{xs.map(x => <li key={x.id}>{x.a < 3 && x.b > 2 ? <b>{`${x}`}</b> : null}</li>)}</ul>\n); }",
+    "if (a < b && c > d) <div/>;\nconst r = /<p>/.test(s) ? y : z / 2;",
+    "const x = a <b && c> d; const y = <a-b c-d={1} /* n */ // m\n/>.type;",
+]
+BAD_JSX = [
+    "const a = <p>hi</q>;", "const a = <p>hi;", "const a = <p>{}}</p>;", "const a = <p>a > b</p>;", "const a = <p b={}/>;", "const a = <p b=c/>;", "const a = <p {b}/>;",
+    "const a = <p>{x +}</p>;", "const a = <p/> <q/>;", "const a = <p {...b, c}/>;", "const a = <></p>;", "const a = <p>{x</p>;", "return (<div>\n<b></div></b>);", "const a = <p>hi</p>; const b = ;",
+]
+
+
+def test_elements_of_jsx_are_parsed():
+    for lang in ("javascript", "typescript"):
+        assert [t for t in GOOD_JSX if S.failure_with_elements(t, lang) is not None] == []
+        assert [t for t in BAD_JSX if S.failure_with_elements(t, lang) is None] == []
+    good = ["const f = <T,>(x: T) => <A<T[]> v={x as any}>{x}</A>;", "const g = <T extends U>(x: T): JSX.Element => <p/>;", "let h: <T>(x: T) => T; const e = <p/>;", "interface I { type: string; <T>(x: T): T }\nconst e = (a as Map<string, () => void>) && <p/>;"]
+    assert [t for t in good if S.failure_with_elements(t, "typescript") is not None] == []
+    assert S.failure_with_elements("const f = <A<T |> v={1}/>;", "typescript") is not None and S.failure_with_elements("const f = <A<T> v={1}/>;", "javascript") is not None
+    deep = "<a b={" * 3000 + "1" + "}/>" * 3000
+    assert S.failure_with_elements(f"x = {deep};", "javascript") is None and S.failure_with_elements(f"x = {deep[:-2]};", "javascript") is not None
+
+
+def test_broken_files_of_jsx_are_found_and_valid_ones_count(spark):
+    rows = [(1, "R", "a.jsx", GOOD_JSX[0]), (2, "R", "b.jsx", "const a = 1;\nconst b = <p>hi</q>;"), (3, "R", "c.tsx", "const a = <p>{x +}</p>;"), (4, "R", "d.jsx", "const a = 1;"), (5, "R", "e.tsx", GOOD_JSX[1])]
+    df = spark.createDataFrame(rows, "source_id long, repository_id string, file_path string, raw_source string")
+    assert {r.source_id for r in S.invalid(df).collect()} == {2, 3}
+    assert {r.source_id: r.line_no for r in S.checked(df).where("not parses").collect()} == {2: 2, 3: 1}
+    assert {(r.language, r.files, r.failed) for r in S.rates(df, elements=True).where("cause is null").collect()} == {("javascript", 3, 1), ("typescript", 2, 1)}
