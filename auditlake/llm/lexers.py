@@ -28,21 +28,24 @@ def _signs(*words: str) -> list[str]:
     return " ".join(words).split()
 
 
-JAVA = _pattern(
-    r'"""[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?"""|"(?!"")(?:[^"\\\n\r]|\\[btnfrs"\'\\0-7]|\\u+[0-9a-fA-F]{4})*"|""(?!")|\'(?:[^\'\\\n\r]|\\(?:[btnfrs"\'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))\'',
+JAVA_PARTS = (
+    r'"""[ \t\f]*\r?\n(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|"(?!"")(?:[^"\\\n\r]++|\\[btnfrs"\'\\0-7]|\\u+[0-9a-fA-F]{4})*+"|""(?!")|\'(?:[^\'\\\n\r]|\\(?:[btnfrs"\'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))\'',
     rf"{_DIGITS}[lLfFdD]?|\d[\d_]*\.(?![.\w])[fFdD]?", _NAME,
     _signs("( ) [ ] { } ; , . ... @ :: -> = == != < > <= >= >>= >>>= <<= << + - * / % & | ^ ! ~ ? : && || ++ -- += -= *= /= %= &= |= ^="),
 )
-KOTLIN = _pattern(
-    r'"""(?:[^"$]|\$(?!\{)|"(?!""))*"""+|"(?!"")(?:[^"\\\n\r$]|\\[tbnr\'"\\$]|\\u[0-9a-fA-F]{4}|\$(?!\{))*"|""(?!")|\'(?:[^\'\\\n\r]|\\[tbnr\'"\\$]|\\u[0-9a-fA-F]{4})\'',
+JAVA = _pattern(*JAVA_PARTS)
+KOTLIN_PARTS = (
+    r'"""(?:[^"$]++|\$(?!\{)|"(?!""))*+"""+|"(?!"")(?:[^"\\\n\r$]++|\\[tbnr\'"\\$]|\\u[0-9a-fA-F]{4}|\$(?!\{))*+"|""(?!")|\'(?:[^\'\\\n\r]|\\[tbnr\'"\\$]|\\u[0-9a-fA-F]{4})\'',
     rf"(?:{_DIGITS})[uU]?[lLfF]?", rf"{_NAME}|`[^`\n]+`",
     _signs("( ) [ ] { } ; , . .. ..< @ :: -> = == != === !== < > <= >= + - * / % & | ! ? : && || ++ -- += -= *= /= %= ?. ?: !! !in !is as?"),
 )
+KOTLIN = _pattern(*KOTLIN_PARTS)
 _ESCAPED = r"\\(?:[^\n\r]|\r?\n)"
-SCRIPT = _pattern(
-    rf'"(?:[^"\\\n\r]|{_ESCAPED})*"|\'(?:[^\'\\\n\r]|{_ESCAPED})*\'', rf"(?:{_DIGITS}|0[oO][0-7_]+|\d[\d_]*\.(?![.\w]))n?", rf"#?(?:{_NAME})",
+SCRIPT_PARTS = (
+    rf'"(?:[^"\\\n\r]++|{_ESCAPED})*+"|\'(?:[^\'\\\n\r]++|{_ESCAPED})*+\'', rf"(?:{_DIGITS}|0[oO][0-7_]+|\d[\d_]*\.(?![.\w]))n?", rf"#?(?:{_NAME})",
     _signs("( ) [ ] { } ; , . ... @ => = == != === !== < > <= >= << <<= >>= >>>= + - * ** / % & | ^ ! ~ ? : && || ?? ++ -- += -= *= **= /= %= &= |= ^= &&= ||= ??= ?. `"),
 )
+SCRIPT = _pattern(*SCRIPT_PARTS)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)")
 
@@ -365,13 +368,16 @@ def brackets(text: str, pattern: re.Pattern, grammar: Grammar, script: bool = Fa
 
 
 _PREFIX = r"(?i:[rbu]|br|rb)?"
-_PYTHON_STRING = rf'{_PREFIX}(?:"""(?:[^\\]|\\[\s\S])*?"""|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|""(?!")|\'(?!\'\')(?:[^\'\\\n]|\\[\s\S])*\'|\'\'(?!\'))'
+_PYTHON_STRING = rf'{_PREFIX}(?:"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]++|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?!"")(?:[^"\\\n]++|\\[\s\S])*+"|""(?!")|\'(?!\'\')(?:[^\'\\\n]++|\\[\s\S])*+\'|\'\'(?!\'))'
 _PYTHON_TEMPLATE = r"(?i:f|fr|rf)(?:\"\"\"|'''|\"|')"
+PYTHON_NUMBER = (
+    r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
+    r"|(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_])\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
+)
+PYTHON_SIGN = r"\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|<=|>=|==|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>=()\[\]{},:.;]"
 PYTHON = re.compile(
     rf"[ \t]*(?:([ \t\f\ufeff]+|#[^\n]*|\\\r?\n)|(?P<line>\r?\n|\r)|(?P<string>{_PYTHON_STRING})"
-    r"|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
-    rf"|(?:0(?:_?0)*|[1-9](?:_?\d)*)(?![\d_])\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))(?![\w])|(?!{_PYTHON_TEMPLATE})(?P<name>[^\W\d]\w*)"
-    r"|(?P<sign>\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|<=|>=|==|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>=()\[\]{},:.;]))"
+    rf"|(?P<number>(?:{PYTHON_NUMBER}))(?![\w])|(?!{_PYTHON_TEMPLATE})(?P<name>[^\W\d]\w*)|(?P<sign>{PYTHON_SIGN}))"
 )
 _TEMPLATE_HEAD, _WHOLE_STRING = re.compile(_PYTHON_TEMPLATE), re.compile(_PYTHON_STRING)
 #: What of an expression in a template ends nothing; the sign that its text is wanted too, and how it is to be written.

@@ -243,6 +243,13 @@ class Grammar:
         space["FAR"][0] = 0
         return space["R0"](0)
 
+    def takes(self, tokens: Tokens) -> bool:
+        """Whether the first rule takes all tokens, however deep they nest."""
+        try:
+            return self._run(self.fast, tokens) >= 0
+        except RecursionError:
+            return self._stacked(tokens) is None
+
     def failure(self, tokens: Tokens) -> int | None:
         """None if the first rule takes all tokens, else the furthest token at which nothing fitted, however deep they nest."""
         try:

@@ -1,6 +1,7 @@
 """Problem 3: source files that do not parse in the language of their extension.
 
-Each text is cut into tokens and parsed by a packrat grammar that must take all of them. A failure is reported with
+Each text is cut into tokens and parsed by a packrat grammar that must take all of them. A text that parses is mostly cut
+in one pass of a regular expression; where it does not, or holds more than that pass knows, it is cut token by token. A failure is reported with
 the line and column of the furthest token at which nothing fitted, and a cause: markers of a merge conflict, a text cut
 off, the syntax of another of the languages, a literal or character that is no token, or an unexpected token. Bodies in
 brackets are remembered by the kinds of their tokens, so that a task parses a common shape once.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm import lexers
+from auditlake.llm import lexers, quick
 from auditlake.llm.grammars import grammar
 from auditlake.llm.handwritten import extension, language
 from auditlake.llm.peg import Tokens
@@ -61,6 +62,10 @@ def expression(lang: str, text: str) -> bool:
     return known
 
 
+#: What judges the templates of a language's strings.
+_expressions = {lang: partial(expression, lang) for lang in WRAPPED}
+
+
 def type_arguments(text: str) -> bool:
     return failure(f"type It = It{text};", "typescript") is None
 
@@ -76,8 +81,17 @@ def failure_with_elements(text: str, lang: str) -> tuple[int, str] | None:
     return found and failure(text, mixed, lexers.Tags(types, True)) and found
 
 
+def parses(text: str, lang: str) -> bool:
+    """Whether a text, that is probably no program of the language, is one; its lexer ends at the first error."""
+    found = tokens_of(text, lang)
+    return found.error is None and grammar(lang).takes(found)
+
+
 def failure(text: str, lang: str, tags: lexers.Tags | None = None) -> tuple[int, str] | None:
     """None if a text is a program of the language, else the offset of the failure and what is there."""
+    found = quick.tokens(text, lang, _expressions.get(lang)) if tags is None else None
+    if found is not None and grammar(lang).takes(found):
+        return None
     found = tokens_of(text, lang, tags=tags)
     at = grammar(lang).failure(found)
     if found.error is not None:
@@ -94,7 +108,7 @@ def cause(text: str, lang: str, at: int, what: str) -> str:
         return "merge conflict"
     if what == "end of text":
         return "cut off"
-    if any(failure(text, other) is None for other in LANGUAGES if other != lang and not {other, lang} == {"javascript", "typescript"}):
+    if any(parses(text, other) for other in LANGUAGES if other != lang and not {other, lang} == {"javascript", "typescript"}):
         return "another language"
     return what
 

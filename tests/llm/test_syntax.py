@@ -2,6 +2,7 @@ import ast
 
 import pytest
 
+from auditlake.llm import lexers, quick
 from auditlake.llm import syntax as S
 
 JAVA = '''
@@ -308,3 +309,38 @@ def test_broken_files_of_jsx_are_found_and_valid_ones_count(spark):
     assert {r.source_id for r in S.invalid(df).collect()} == {2, 3}
     assert {r.source_id: r.line_no for r in S.checked(df).where("not parses").collect()} == {2: 2, 3: 1}
     assert {(r.language, r.files, r.failed) for r in S.rates(df, elements=True).where("cause is null").collect()} == {("javascript", 3, 1), ("typescript", 2, 1)}
+
+
+ODD = {
+    "java": ["int a = 1 / 2; // it's\n/* \"*/ x.y(.5f, 1., 0x1p3);", "a = 3x;", "a = 'xy';", "a = \"b", "a /* b", "f(;", "s = \"/*\";", "été = café;", "a = 1 ²;"],
+    "kotlin": ["val a = b as? C; a !in c && d !is E; !inner; !in²", "f(\n a,\n b { c\n d }\n)\n[\n1]\n", '"${a}" + "${a b}"', '"a ${b.c(1)} \\${d" + "$e"', '"${"x"}"', "1..2; 1.5.f(); `a b`"],
+    "javascript": ["a = b / 2 / c; d = /[/\"]/g; return /x/.test(y) / 2", "a = b\n/re\"/", "x = `a ${b + 'c'}\n${\nd\n} \\${e}`", "x = `${a ? `b` : {}}`", "x = `${(}`)", "x = `a ${b", "#!x\na.#b; 5x", "a = c => /d'/", "(a) /b/ c", "x = y++ /z/ 2"],
+    "typescript": ["let a: b<c[]> = d! / e; f = <g>h", "type A = `x${string}`"],
+    "python": [
+        "if a:\n\tb\n\n  # c\n\td(e,\n f)\ng\n", "if a:\n    b\n  c\n", "a = \\\n  b\n\\\nc\n", "a \\", "f\"{a}{b.c[0]!r}\" f'{d:>3}{{}}' rb'' F\"x\\n\"", "f'{a b}'", "f'{if}'", "print'a'", "a = '''b\\'''c'''\n# '''",
+        "1if a else 0x", "x = 1\r\nif y:\r\n  z\r\n", "x\ry", "  # a", "", "if a:\n  b\n        \n", "café² = 1",
+    ],
+}
+
+
+@pytest.mark.parametrize("language", ODD)
+def test_quick_tokens_are_those_of_the_lexers(language):
+    texts = [*ODD[language], *BAD[language], *(t for o in GOOD.values() for t in o.split("\n")), *GOOD.values()]
+    told = 0
+    for text in texts + [t.replace("\n", "\r\n") for t in texts] + [t[: len(t) * 2 // 3] for t in texts]:
+        found, whole = quick.tokens(text, language, S._expressions.get(language)), S.tokens_of(text, language)
+        if found is not None:
+            assert (found.kinds, found.matches, whole.error) == (whole.kinds, whole.matches, None), text
+            assert language == "java" or found.breaks == whole.breaks, text
+        told += found is not None
+    assert told > len(texts)
+
+
+def test_texts_that_parse_are_cut_in_one_pass(monkeypatch):
+    monkeypatch.setattr(lexers, "brackets", None)
+    monkeypatch.setattr(lexers, "indented", None)
+    texts = {"java": JAVA, "javascript": "const a = `x ${b} y`, c = d / 2, e = /[/]/.test(f)\n", "kotlin": "fun f(a: Int) {\n  val b = a as? C\n  if (b !in c) d\n}\n", "python": "if a:\n    b = '''c'''  # d\n\ne(\n  f)\n"}
+    for language, text in texts.items():
+        assert S.failure(text, language) is None
+    with pytest.raises(TypeError):
+        S.failure("class A { int x = ; }", "java")
